@@ -22,11 +22,51 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.packing import Encoder, pack
+
+    ship(spark)
+    return pack(table(spark, sf_dir, "documents"), byte_bpe_encoder(Encoder))
+
+
+def byte_bpe_encoder(kind):  # noqa: ANN001, ANN201
+    """Makes the encoder where it is used: the vocabulary files are read on each worker."""
+
+    def make():  # noqa: ANN202
+        import public_tokenizers
+
+        return kind(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    return make
+
+
+def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.archives import archive_pages
+    from docketry.llm.common import new_path
+
+    ship(spark)
+    return archive_pages(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
+OP10_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages
+), d as (select page_id, n, sha256(html) as digest from p),
+g as (select *, min(page_id) over (partition by digest) as first_id from d)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+       case when n >= 100 and (page_id is null or page_id > first_id) and first_id is not null then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and (page_id is null or page_id > first_id) then first_id end as refers_to
+from g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
+        "op10_archives": op10_archives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_archives": OP10_SQL}
