@@ -40,6 +40,20 @@ def byte_bpe_encoder(kind):  # noqa: ANN001, ANN201
     return make
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.toxicity import classify
+
+    ship(spark)
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.quality import classify
+
+    ship(spark)
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.archives import archive_pages
     from docketry.llm.common import new_path
@@ -64,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
+        "op7_toxicity": op7_toxicity,
+        "op9_quality": op9_quality,
         "op10_archives": op10_archives,
     }
 
