@@ -22,6 +22,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.langid import identify
+
+    ship(spark)
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.packing import Encoder, pack
 
@@ -76,6 +83,7 @@ from g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language": op3_language,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
         "op7_toxicity": op7_toxicity,
