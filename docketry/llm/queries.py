@@ -22,6 +22,60 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def mix_levels() -> list:
+    """The tree of the queries: sources make four domains; weights are whole numbers."""
+    from pyspark.sql import functions as F
+
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '[0-9]+', 0) as int)"), F.lit(0))
+    domain = F.concat(F.lit("domain"), (number % 4).cast("string"))
+    lang = F.when(F.col("lang") == "en", 4).when(F.col("lang").isin("de", "fr"), 3).otherwise(2)
+    return [("domain", domain, 5 - number % 4), ("lang", F.col("lang"), lang), ("source", F.col("source"), 1 + number % 3)]
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.mixing import mix
+
+    ship(spark)
+    return mix(table(spark, sf_dir, "documents"), mix_levels())
+
+
+def _share_sql(name: str, nodes: str, parent: str, key: str) -> str:
+    """SQL for the split of each parent's budget among the rows (cap, w, budget) of `nodes`."""
+    by = f"partition by {parent} " if parent else ""
+    run = f"({by}order by cap::double / w, {key} rows unbounded preceding)"
+    return f"""
+{name}_1 as (select *, sum(cap) over {run} - cap as c, sum(w) over {run} - w as v, sum(w) over ({by}) as t from {nodes}),
+{name}_2 as (select *, min(case when cap::hugeint * (t - v)::hugeint <= (budget - c)::hugeint * w then 1 else 0 end) over {run} = 1 as f from {name}_1),
+{name}_3 as (select *, budget - sum(case when f then cap else 0 end) over ({by}) as rest, sum(case when f then 0 else w end) over ({by}) as free,
+  sum(case when f then 0 else w end) over {run} as cum from {name}_2),
+{name} as (select *, case when f then cap when free > 0 then (rest::hugeint * cum::hugeint) // free::hugeint - (rest::hugeint * (cum - w)::hugeint) // free::hugeint else 0 end as alloc from {name}_3)"""
+
+
+OP1_SQL = rf"""
+with d as (
+  select doc_id, lang, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) as n,
+         coalesce(try_cast(regexp_extract(source, '[0-9]+') as int), 0) as s from documents
+), r as (
+  select doc_id, 'domain' || (s % 4) as domain, lang, source, n, 5 - s % 4 as w0,
+         case when lang = 'en' then 4 when lang in ('de', 'fr') then 3 else 2 end as w1, 1 + s % 3 as w2,
+         coalesce('=' || lang, 'null') as k1, coalesce('=' || source, 'null') as k2 from d
+), leaves as (select domain, k1, k2, sum(n) as supply, sum(n) * 3 as cap, max(w0) as w0, max(w1) as w1, max(w2) as w2 from r group by all having sum(n) > 0),
+n0 as (select domain, sum(cap) as cap, max(w0) as w, (select least(sum(supply), sum(cap)) from leaves) as budget from leaves group by domain),
+{_share_sql("a0", "n0", "", "domain")},
+n1 as (select l.domain, k1, sum(l.cap) as cap, max(w1) as w, any_value(alloc) as budget from leaves l join a0 on l.domain = a0.domain group by l.domain, k1),
+{_share_sql("a1", "n1", "domain", "k1")},
+n2 as (select l.domain, l.k1, k2, l.cap, w2 as w, alloc as budget, supply from leaves l join a1 on l.domain = a1.domain and l.k1 = a1.k1),
+{_share_sql("a2", "n2", "domain, k1", "k2")},
+plan as (select domain, k1, k2, alloc // supply as epochs, alloc % supply as rest from a2 where alloc > 0),
+j as (select r.*, epochs, rest, md5('mix-1:' || epochs::bigint || ':' || coalesce(doc_id::varchar, 'null')) as h from r join plan using (domain, k1, k2)),
+o as (select *, sum(n) over (partition by domain, k1, k2 order by h rows unbounded preceding) - n as before from j),
+e as (select *, unnest(range(0, epochs::bigint + 1)) as epoch from o)
+select doc_id, domain, lang, source, epoch::int as epoch, n::bigint as n_tokens,
+       (case when epoch < epochs then n else least(n, rest - before) end)::bigint as take_tokens
+from e where epoch < epochs or before < rest
+"""
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.langid import identify
 
@@ -83,6 +137,7 @@ from g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op3_language": op3_language,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
@@ -93,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_archives": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op10_archives": OP10_SQL}
