@@ -29,7 +29,7 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/docketry-{what}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, what: str, sort_free: bool = True) -> DataFrame:
+def stored(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, what)
@@ -73,3 +73,13 @@ def bounded_sample(rows: DataFrame, classes: str, key: str, per_class: int, seed
         .where(F.col("__u") * F.col("__n") < F.lit(float(per_class)) * 1.1)
     )
     return kept.drop("__u", "__n")
+
+
+#: So many ids (8 bytes each) may be broadcast; a larger table of ids is joined by shuffling.
+MOST_IDS = 500_000
+
+
+def having_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in the stored table `ids` (distinct, one column): broadcast if counted few, else shuffled."""
+    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")

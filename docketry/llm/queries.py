@@ -53,7 +53,8 @@ def _share_sql(name: str, nodes: str, parent: str, key: str) -> str:
 
 OP1_SQL = rf"""
 with d as (
-  select doc_id, lang, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) as n,
+  select doc_id, lang, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) as n,
          coalesce(try_cast(regexp_extract(source, '[0-9]+') as int), 0) as s from documents
 ), r as (
   select doc_id, 'domain' || (s % 4) as domain, lang, source, n, 5 - s % 4 as w0,
@@ -101,6 +102,13 @@ def byte_bpe_encoder(kind):  # noqa: ANN001, ANN201
     return make
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.neardup import near_duplicates
+
+    ship(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.toxicity import classify
 
@@ -141,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language": op3_language,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_toxicity": op7_toxicity,
         "op9_quality": op9_quality,
         "op10_archives": op10_archives,
