@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +86,32 @@ def having_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in the stored table `ids` (distinct, one column): broadcast if counted few, else shuffled."""
     few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
     return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
+def map_groups(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:  # noqa: ANN001
+    """work(table) on the rows of each group of the (numeric or text) key columns; it yields Arrow batches.
+
+    Like a grouped map, but a task reads its sorted groups as a stream of Arrow batches, so thousands of small
+    groups cost little. Groups must be small enough for memory: split large ones before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(new).tolist()] if batch.num_rows else []
+            for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+                mark = tuple(c[at] for c in columns)
+                if held and mark != last:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                last = mark
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -77,6 +77,13 @@ from e where epoch < epochs or before < rest
 """
 
 
+def op2_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.embedding_dedup import near_duplicates
+
+    ship(spark)
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.langid import identify
 
@@ -146,6 +153,7 @@ from g
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_embedding_duplicates": op2_embedding_duplicates,
         "op3_language": op3_language,
         "op4_packing": op4_packing,
         "op5_token_counts": op5_token_counts,
