@@ -123,6 +123,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from docketry.llm.topk import top_k
+
+    ship(spark)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP8_SQL = """
+with x as (
+  select vec_id, list_transform(embedding, lambda v: floor(256 * v::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda v: v is null or not isfinite(v) or abs(256 * v::double) >= 1048576)) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from x q join x c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.quality import classify
 
@@ -159,10 +181,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_toxicity": op7_toxicity,
+        "op8_top_k": op8_top_k,
         "op9_quality": op9_quality,
         "op10_archives": op10_archives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op10_archives": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op8_top_k": OP8_SQL, "op10_archives": OP10_SQL}
