@@ -2,16 +2,538 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docketry.functions import citations as C
+from docketry.functions import text as T
+from docketry.operators import citator, constraints, entities, evals, grounding, layout, profiles, similarity
+from docketry.plans import literals
+from docketry.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+TODAY = dt.date(2026, 1, 1)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+_NORM = r"trim(regexp_replace(replace(lower(regexp_replace(strip_accents({}), '[^\x00-\x7F]', '', 'g')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+_TOKENS = f"list_filter(string_split({_NORM}, ' '), lambda t: t <> '')"
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_TELLING = f"list_filter({_TOKENS}, lambda t: length(t) > 2 and not regexp_full_match(t, '[0-9]+') and t not in ({_STOP}))"
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
+_JACCARD = "(len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))))"
+_SKELETON_1 = "translate(replace({0}, 'w', 'v'), 'aeiouyh', '')"
+_SKELETON = "array_to_string(list_filter(string_split({0}, ''), lambda c, i: i = 1 or c <> substr({0}, i - 1, 1)), '')".format(_SKELETON_1)
+_LINES = "select doc_id, source, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents"
+_CONTENT = r"trim(regexp_replace(raw, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+# Text scalars
+
+
+@query(f"select doc_id, {_NORM.format('text')} as normalized from documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
+@query(f"select doc_id, len(w)::int as n_tokens, array_to_string(w, ' ') as words from (select doc_id, {_TELLING.format('text')} as w from documents)")
+def distinctive_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.distinctive_tokens(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("words"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_name").distinct()
+
+
+_NAME_GRAMS = f"select p_name, list_distinct(flatten(list_transform({_TOKENS.format('p_name')}, lambda w: {_GRAMS.format('w')}))) as g from (select distinct p_name from part)"
+
+
+@query(f"select p_name, len(g)::int as n_trigrams, array_to_string(list_sort(g), '|') as trigrams from ({_NAME_GRAMS})")
+def trigram_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _names(spark, sf_dir).withColumn("g", T.trigrams(F.col("p_name")))
+    return rows.select("p_name", F.size("g").alias("n_trigrams"), F.array_join(F.array_sort("g"), "|").alias("trigrams"))
+
+
+@query(f"""with g as ({_NAME_GRAMS}), p as (
+  select a.p_name as left_key, b.p_name as right_key, len(list_intersect(a.g, b.g)) as shared, len(a.g) as na, len(b.g) as nb from g a, g b)
+select left_key, right_key, shared::bigint as shared, shared / (na + nb - shared) as similarity from p where shared > 0""")
+def trigram_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    return similarity.trigram_join(names, names, "p_name", "p_name")
+
+
+_WORDS = f"select distinct unnest({_TOKENS.format('p_name')}) as word from part"
+
+
+@query(f"select skeleton, count(*) as n_words, string_agg(word, ',' order by word) as words from (select word, {_SKELETON.format('word')} as skeleton from ({_WORDS})) group by skeleton")
+def skeleton_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _names(spark, sf_dir).select(F.explode(T.tokens(F.col("p_name"))).alias("word")).distinct()
+    return words.groupBy(T.skeleton(F.col("word")).alias("skeleton")).agg(F.count(F.lit(1)).alias("n_words"), F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
+
+
+_WORD_SCORES = f"""w as ({_WORDS}), s as (select word, {_GRAMS.format('word')} as g, {_SKELETON.format('word')} as k from w),
+pairs as (select a.word as left_word, b.word as right_word, {_JACCARD.format('a.g', 'b.g')} as plain, a.k = b.k and length(a.k) >= 3 as alike from s a, s b),
+scores as (select left_word, right_word, case when plain < 0.6 and alike then 0.6 else plain end as score from pairs)"""
+
+
+@query(f"with {_WORD_SCORES} select * from scores where score >= 0.45")
+def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _names(spark, sf_dir).select(F.explode(T.tokens(F.col("p_name"))).alias("word")).distinct()
+    return similarity.word_join(words, words)
+
+
+def _typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands' part names as somebody might type them: the first vowel of each name is left out."""
+    names = _names(spark, sf_dir)
+    return names.select("p_name", F.regexp_replace("p_name", "^([^aeiou]*)[aeiou]", "$1").alias("typed"))
+
+
+_COVER = f"""with n as (select distinct p_name, {_TELLING.format('p_name')} as w from part),
+t as (select p_name as q, {_TELLING.format("regexp_replace(p_name, '^([^aeiou]*)[aeiou]', chr(92) || '1')")} as w from (select distinct p_name from part)),
+src as (select q, unnest(w) as s, generate_subscripts(w, 1) as pos, len(w) as n from t),
+pool as (select p_name, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]))) as t from n),
+sw as (select distinct s as word from src), tw as (select distinct t as word from pool),
+sg as (select word, {_GRAMS.format('word')} as g, {_SKELETON.format('word')} as k from sw), tg as (select word, {_GRAMS.format('word')} as g, {_SKELETON.format('word')} as k from tw),
+pairs as (select a.word as s, b.word as t, {_JACCARD.format('a.g', 'b.g')} as plain, a.k = b.k and length(a.k) >= 3 as alike from sg a, tg b),
+sc as (select s, t, case when plain < 0.6 and alike then 0.6 else plain end as score from pairs),
+best as (select q, p_name, pos, max(score) as m, any_value(src.n) as n from src, pool, sc where src.s = sc.s and pool.t = sc.t group by q, p_name, pos)"""
+
+
+@query(_COVER + " select q as typed_of, p_name, sum(case when m >= 0.45 then 1 else 0 end)::int as hits, sum(case when m >= 0.45 then 1 else 0 end) / max(n) as coverage from best group by q, p_name")
+def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed_names(spark, sf_dir).select(F.col("p_name").alias("typed_of"), T.distinctive_tokens(F.col("typed")).alias("q")).where(F.size("q") > 0)
+    names = _names(spark, sf_dir).withColumn("w", T.distinctive_tokens(F.col("p_name")))
+    pairs = typed.join(F.broadcast(names))  # both sides are the part names' vocabulary, a few dozen rows at any scale
+    scores = pairs.withColumn("hits", F.size(F.filter(T.best_token_scores(F.col("q"), F.col("w")), lambda s: s >= T.TOKEN_MATCH)))
+    return scores.select("typed_of", "p_name", "hits", (F.col("hits") / F.size("q")).alias("coverage"))
+
+
+@query(_COVER + """, c as (select q as typed_of, p_name, sum(case when m >= 0.45 then 1 else 0 end) / max(n) as coverage from best group by q, p_name)
+select typed_of, p_name from c where coverage >= 0.8""")
+def titles_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed_names(spark, sf_dir).select(F.col("p_name").alias("typed_of"), "typed")
+    return typed.join(F.broadcast(_names(spark, sf_dir)), T.titles_match(F.col("typed"), F.col("p_name"))).select("typed_of", "p_name")
+
+
+# Entities
+
+
+def _part_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("case_ord"), F.count(F.lit(1)).cast("int").alias("cited_by_count"))
+    return rows.select("case_ord", F.col("p_name").alias("id"), F.col("p_name").alias("title"), F.lit(2000).alias("year"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(None).cast("array<string>").alias("citations"), "cited_by_count")
+
+
+def _part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed_names(spark, sf_dir)
+    rows = typed.select(F.col("p_name").alias("query_id"), F.col("typed").alias("query"))
+    first = typed.select(F.concat(F.lit("1:"), F.split("p_name", " ")[0]).alias("query_id"), F.split("p_name", " ")[0].alias("query")).distinct()
+    return rows.unionByName(first)
+
+
+_RESOLVE = f"""with c as (select p_name as id, min(p_partkey) as ord, count(*) as cited, any_value({_TELLING.format('p_name')}) as w from part group by p_name),
+q0 as (select p_name as query_id, regexp_replace(p_name, '^([^aeiou]*)[aeiou]', chr(92) || '1') as query from (select distinct p_name from part)
+  union all select distinct '1:' || string_split(p_name, ' ')[1], string_split(p_name, ' ')[1] from part),
+q as (select query_id, {_TELLING.format('query')} as w from q0),
+qw as (select query_id, unnest(w) as s, generate_subscripts(w, 1) as pos, len(w) as n from q),
+cw as (select id, unnest(w) as t, generate_subscripts(w, 1) as pos, len(w) as n from c),
+cp as (select id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]))) as t from c),
+qp as (select query_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]))) as t from q),
+words as (select distinct s as word from qw union select t from cp union select t from qp union select t from cw),
+g as (select word, {_GRAMS.format('word')} as g, {_SKELETON.format('word')} as k from words),
+p as (select a.word as s, b.word as t, {_JACCARD.format('a.g', 'b.g')} as plain, a.k = b.k and length(a.k) >= 3 as alike from g a, g b),
+sc as (select s, t, case when plain < 0.6 and alike then 0.6 else plain end as score from p),
+fw as (select query_id, id, pos, max(score) as m, any_value(n) as n from qw join sc on qw.s = sc.s join cp on cp.t = sc.t group by query_id, id, pos),
+f as (select query_id, id, list_sum(list(m order by pos)) / max(n) as query_cov, bool_and(m >= 0.45) as all_words from fw group by query_id, id),
+bw as (select query_id, id, pos, max(score) as m, any_value(n) as n from cw join sc on cw.t = sc.s join qp on qp.t = sc.t group by query_id, id, pos),
+b as (select query_id, id, sum(case when m >= 0.45 then 1 else 0 end) / max(n) as name_cov from bw group by query_id, id),
+m as (select f.query_id, f.id, c.ord, c.cited, 0.7::double * query_cov + 0.3::double * name_cov as score, all_words and name_cov >= 0.5 as firm
+  from f join b on f.query_id = b.query_id and f.id = b.id join c on c.id = f.id),
+k as (select * from m where score >= 0.4),
+r as (select *, row_number() over (partition by query_id order by score desc, cited desc, ord) as rank,
+  row_number() over (partition by query_id, firm order by score desc, cited desc, ord) as firm_rank, count(case when firm then 1 end) over (partition by query_id) as n_firm from k),
+s as (select *, max(case when firm and firm_rank = 1 then score end) over (partition by query_id) as top, max(case when firm and firm_rank = 2 then score end) over (partition by query_id) as second from r),
+d as (select *, case when n_firm = 0 then 'suggestions' when n_firm = 1 or top - second >= 0.1 then 'resolved' else 'ambiguous' end as status from s),
+shown as (select * from d where case status when 'resolved' then firm and firm_rank = 1 when 'ambiguous' then firm and top - score < 0.1 else rank <= 5 end)"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.resolve_names(entities.decompose(_part_queries(spark, sf_dir)).cache(), _part_cases(spark, sf_dir))
+
+
+@query(_RESOLVE + " select q.query_id, coalesce(any_value(status), 'not_found') as status, coalesce(string_agg(id, '|' order by rank), '') as candidates from q left join shown on q.query_id = shown.query_id group by q.query_id")
+def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).select("query_id", "status", F.coalesce(F.array_join(F.transform("candidates", lambda c: c["case_id"]), "|"), F.lit("")).alias("candidates"))
+
+
+@query(_RESOLVE + " select query_id, id, rank::int as rank, round(score, 6) as score from r where rank <= 5")
+def resolve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    cases = _part_cases(spark, sf_dir)
+    scored = entities.score_names(entities.decompose(_part_queries(spark, sf_dir)).cache(), cases).where(F.col("score") >= entities.LEAST_SCORE).join(cases.select("case_ord", F.col("cited_by_count").alias("cited")), "case_ord")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("cited"), "case_ord"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= entities.SUGGESTED).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_RESOLVE + " select status, count(*) as n_queries from (select q.query_id, coalesce(any_value(status), 'not_found') as status from q left join shown on q.query_id = shown.query_id group by q.query_id) group by status")
+def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n_queries"))
+
+
+@query("""with o as (select o_custkey, list(distinct o_orderstatus order by o_orderstatus) as s, count(*) as n from orders group by o_custkey)
+select c_custkey, case when n is null then 'not_found' when len(s) > 1 then 'ambiguous' else 'resolved' end as status, coalesce(array_to_string(s, ','), '') as found, coalesce(n, 0)::bigint as n_refs
+from customer left join o on c_custkey = o_custkey""")
+def citation_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to entities, exploded, joined by key and decided per query in order of rules."""
+    refs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey").join(refs, F.col("c_custkey") == F.col("o_custkey"), "left")
+    status = F.when(F.col("n").isNull(), "not_found").when(F.size("s") > 1, "ambiguous").otherwise("resolved")
+    return rows.select("c_custkey", status.alias("status"), F.coalesce(F.array_join("s", ","), F.lit("")).alias("found"), F.coalesce("n", F.lit(0)).alias("n_refs"))
+
+
+@query(literals.values_sql(literals.CITATIONS, ["text", "canonical", "reporter_key", "issues"]))
+def citation_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(c[0],) for c in literals.CITATIONS], "text string").withColumn("c", C.parse_citation(F.col("text")))
+    c = F.col("c")
+    issues = F.when(c.isNotNull(), F.array_join(C.plausibility_issues(c, TODAY), "; "))
+    return rows.select("text", C.canonical(c).alias("canonical"), C.reporter_key(c).alias("reporter_key"), issues.alias("issues"))
+
+
+@query(literals.values_sql(literals.FOUND, ["text", "found"]))
+def citation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(c[0],) for c in literals.FOUND], "text string")
+    return rows.select("text", F.array_join(F.transform(C.find_citations(F.col("text")), C.canonical), " | ").alias("found"))
+
+
+@query()
+def citations_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)\\d\\)?\\s*(?:Supp\\s*)?\\(?\\d{0,2}\\)?\\s*(?:S\\.?C\\.?C|S\\.?C\\.?R|SCALE|INSC)|\\b(?:A\\.?I\\.?R|JT)\\b"))
+    return rows.select("doc_id", F.size(C.find_citations(F.col("text"))).alias("n_citations")).where("n_citations > 0")
+
+
+# Several sources
+
+
+_COPIES = "select md5(text) as text_key, doc_id, source, lang, n_chars from documents"
+
+
+def _witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.md5("text").alias("text_key"), "doc_id", "source", "lang", "n_chars")
+
+
+@query(f"""select text_key, count(*) as n_records, count(distinct source) as n_origins, bool_or(source = 'src0') as has_official,
+case when count(distinct source) < 2 then 'fewer than two independent sources' when not bool_or(source = 'src0') then 'no official source' else '' end as reason
+from ({_COPIES}) group by text_key""")
+def origin_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.identity_gate(_witnesses(spark, sf_dir), "text_key", "source", F.col("source") == "src0")
+
+
+@query(f"""with l as (select text_key, source, arg_max(lang, doc_id) as value from ({_COPIES}) where lang is not null group by text_key, source)
+select text_key, count(*) as n_sources, count(distinct value) as n_values, string_agg(source || '=' || value, ',' order by source || '=' || value) as values_by_source, count(distinct value) = 1 as agrees from l group by text_key""")
+def field_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.field_agreement(_witnesses(spark, sf_dir), "text_key", "source", "lang", "doc_id")
+
+
+@query(f"""with g as (select text_key, count(distinct source) as origins, bool_or(source = 'src0') as official, count(distinct lang) as langs, count(distinct n_chars) as sizes, count(*) as n from ({_COPIES}) group by text_key)
+select text_key, n as n_records, case when origins < 2 or not official then 'could_not_verify' when langs > 1 or sizes > 1 then 'partly_verified' else 'verified' end as status from g""")
+def verify_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _witnesses(spark, sf_dir).groupBy("text_key").agg(F.count_distinct("source").alias("origins"), F.bool_or(F.col("source") == "src0").alias("official"), F.count_distinct("lang").alias("langs"), F.count_distinct("n_chars").alias("sizes"), F.count(F.lit(1)).alias("n_records"))
+    status = F.when((F.col("origins") < 2) | ~F.col("official"), "could_not_verify").when((F.col("langs") > 1) | (F.col("sizes") > 1), "partly_verified").otherwise("verified")
+    return rows.select("text_key", "n_records", status.alias("status"))
+
+
+@query(literals.values_sql([(c, s, r) for c, s, r in literals.VERIFIED], ["case_id", "status", "reasons"]))
+def source_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.operators import consensus
+
+    out = consensus.verify(literals.cases(spark), literals.records(spark))
+    return out.select("case_id", "status", F.array_join("reasons", "; ").alias("reasons"))
+
+
+# Layout: the documents of a source are the pages of one long document
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    return rows.withColumn("line_no", F.col("line_no") + 1)
+
+
+_EDGES = f"""l as (select source as doc_id, doc_id as page_no, line_no, raw, {_CONTENT} as line from ({_LINES})),
+e as (select *, row_number() over (partition by doc_id, page_no order by line_no) as from_top, row_number() over (partition by doc_id, page_no order by line_no desc) as from_bottom from l where line <> ''),
+n as (select doc_id, count(distinct page_no) as pages from l group by doc_id),
+run as (select e.doc_id, line, count(distinct page_no) as pages from e where from_top <= 2 or from_bottom <= 3 group by e.doc_id, line),
+running as (select run.doc_id, line, run.pages from run join n on run.doc_id = n.doc_id where run.pages >= 3 and run.pages >= n.pages * {{share}})"""
+_SHARE = 0.05
+
+
+@query(f"with {_EDGES.format(share=_SHARE)} select doc_id, line, pages from running")
+def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.running_lines(_lines(spark, sf_dir), least_share=_SHARE)
+
+
+@query(f"""with {_EDGES.format(share=_SHARE)},
+f as (select e.*, regexp_matches(e.line, '^[^\\w\\s]{{0,2}}\\s*\\d{{1,4}}\\s*[^\\w\\s]{{0,2}}$') or regexp_matches(e.line, '(?i)\\bPage\\s+\\d+(?:\\s+of\\s+\\d+)?\\s*$') or running.line is not null as f
+  from e left join running on e.doc_id = running.doc_id and e.line = running.line),
+r as (select *, min(case when f and from_top <= 3 then 1 else 0 end) over (partition by doc_id, page_no order by from_top) as t, min(case when f and from_bottom <= 4 then 1 else 0 end) over (partition by doc_id, page_no order by from_bottom) as b from f)
+select doc_id, page_no, line_no::int as line_no, line from r where t = 0 and b = 0""")
+def edge_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return layout.strip_edges(lines, layout.running_lines(lines, least_share=_SHARE)).select("doc_id", "page_no", "line_no", "line")
+
+
+@query(f"""with l as (select source as doc_id, doc_id as page_no, line_no, {_CONTENT} as line from ({_LINES})), k as (select * from l where line <> ''),
+b as (select *, lag(line_no) over w as p, line_no - coalesce(lag(line_no) over w, 0) - 1 as blanks from k window w as (partition by doc_id, page_no order by line_no))
+select doc_id, page_no, line_no::int as line_no, blanks::int as blanks, sum(case when blanks > 0 or p is null then 1 else 0 end) over (partition by doc_id, page_no order by line_no rows unbounded preceding)::bigint as island from b""")
+def line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.blank_islands(_lines(spark, sf_dir)).select("doc_id", "page_no", "line_no", F.col("blanks").cast("int").alias("blanks"), "island")
+
+
+@query(f"""with l as (select doc_id, list_sort(list(length(raw))) as v from ({_LINES}) group by doc_id)
+select doc_id, v[least(len(v) - 1, floor(len(v) * 0.1::double)::int) + 1]::int as low, v[least(len(v) - 1, floor(len(v) * 0.9::double)::int) + 1]::int as high from l""")
+def percentile_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).groupBy(F.col("page_no").alias("doc_id")).agg(F.collect_list(F.length("raw")).alias("v"))
+    return rows.select("doc_id", layout.nearest_rank(F.col("v"), 0.1).alias("low"), layout.nearest_rank(F.col("v"), 0.9).alias("high"))
+
+
+@query(f"""with c as (select doc_id, length(raw) as len, count(*) as n, min(line_no) as first from ({_LINES}) group by all),
+r as (select *, row_number() over (partition by doc_id order by n desc, first) as k from c) select doc_id, len::int as mode, n as n_mode from r where k = 1""")
+def modal_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select(F.col("page_no").alias("doc_id"), "line_no", F.length("raw").alias("len"))
+    return profiles.mode_first(rows, ["doc_id"], "len", F.col("line_no"))
+
+
+_EDGE_PUNCTUATION = r"""[.,;:!?"''“”‘’()\[\]{}*]+"""
+
+
+@query(rf"""with t as (select doc_id, list_filter(regexp_split_to_array(raw, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') as w from ({_LINES})),
+u as (select doc_id, unnest(case when len(w) > 0 and w[-1] like '%-' then w[:-2] else w end) as token from t),
+v as (select doc_id, lower(regexp_replace(regexp_replace(token, '^{_EDGE_PUNCTUATION}', ''), '{_EDGE_PUNCTUATION}$', '')) as word from u)
+select doc_id, word, count(*) as n from v where word <> '' group by doc_id, word""")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
+    return layout.vocabulary(rows)
+
+
+@query(rf"""with t as (select doc_id, list_filter(regexp_split_to_array(raw, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') as w from ({_LINES})),
+u as (select doc_id, lower(regexp_replace(regexp_replace(unnest(w), '^{_EDGE_PUNCTUATION}', ''), '{_EDGE_PUNCTUATION}$', '')) as word from t),
+v as (select word, count(*) as n, count(distinct doc_id) as n_docs from u where word <> '' group by word),
+h as (select doc_id, word, string_split(word, '-')[1] as head, string_split(word, '-')[2] as tail from (select distinct doc_id, word from u) where regexp_full_match(word, '[^-]+-[^-]+'))
+select h.doc_id, h.word, coalesce(j.n, 0)::bigint as n_joined, coalesce(a.n, 0)::bigint as n_head, coalesce(b.n, 0)::bigint as n_tail
+from h left join v j on j.word = head || tail left join v a on a.word = head left join v b on b.word = tail""")
+def hyphen_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each hyphenated word, how often its joined form and its halves occur in the corpus."""
+    edge = "[.,;:!?\"'“”‘’()\\[\\]{}*]+"
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\\s+")).alias("t")).select("doc_id", F.lower(F.regexp_replace("t", f"^{edge}|{edge}$", "")).alias("word")).where("word <> ''")
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    split = words.where(F.col("word").rlike("^[^-]+-[^-]+$")).distinct().withColumn("parts", F.split("word", "-"))
+    split = split.select("doc_id", "word", F.concat(F.col("parts")[0], F.col("parts")[1]).alias("joined"), F.col("parts")[0].alias("head"), F.col("parts")[1].alias("tail"))
+    for part in ("joined", "head", "tail"):
+        split = split.join(counts.select(F.col("word").alias(part), F.col("n").alias(f"n_{part}")), part, "left")
+    return split.select("doc_id", "word", *(F.coalesce(f"n_{p}", F.lit(0)).alias(f"n_{p}") for p in ("joined", "head", "tail")))
+
+
+@query(f"select doc_id, line_no::int as line_no, {_CONTENT} as line from ({_LINES}) where length({_CONTENT}) <= 80 and regexp_full_match({_CONTENT}, '[A-Z][A-Z0-9 ,&()/:;-]*[A-Z0-9)?-]')")
+def caps_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select(F.col("page_no").alias("doc_id"), "line_no", layout.content(F.col("raw")).alias("line"))
+    return rows.where((F.length("line") <= 80) & F.col("line").rlike("^[A-Z][A-Z0-9 ,&()/:;-]*[A-Z0-9)?-]$"))
+
+
+@query(f"""with l as (select doc_id, line_no, {_CONTENT} as line from ({_LINES}))
+select doc_id, line_no::int as line_no, coalesce(lead(nullif(line, '') ignore nulls) over (partition by doc_id order by line_no), '') as following from l""")
+def next_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
+    return layout.next_content(rows).select("doc_id", "line_no", "following")
+
+
+@query()
+def paragraph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return layout.paragraphs(layout.page_lines(docs))
+
+
+@query()
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.html_lines(table(spark, sf_dir, "pages"))
+
+
+# Grounding
+
+
+_QUOTED = r"regexp_extract_all(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '“', '\"'), '”', '\"'), '‘', ''''), '’', ''''), '–', '-'), '—', '-'), chr(173), ''), '…', '...'), '[ \t\n\x0B\f\r]+', ' ', 'g')), '\"([^\"]+)\"', 1)".replace('\\"', '"')
+
+
+@query(f"select doc_id, unnest({_QUOTED}) as quote from documents")
+def quote_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.quotations(F.col("text"))).alias("quote"))
+
+
+@query("""select b.item_id, d.doc_id, instr(d.text, b.text)::int as at, (length(substr(d.text, 1, instr(d.text, b.text) - 1)) - length(replace(substr(d.text, 1, instr(d.text, b.text) - 1), chr(10), '')) + 1)::int as line_no
+from benchmark b join documents d on contains(d.text, b.text)""")
+def passage_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages that stand in documents, with the line that they begin on."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = grounding.contained(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), docs)
+    before = F.substring(F.col("text"), F.lit(1), F.col("at") - 1)
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    return found.join(docs, found["text_id"] == docs["id"]).select(F.col("passage_id").alias("item_id"), F.col("text_id").alias("doc_id"), "at", line.alias("line_no"))
+
+
+@query("""select b.item_id, count(d.doc_id) as n_docs from benchmark b left join documents d on contains(d.text, b.text) group by b.item_id""")
+def quote_in_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    found = grounding.contained(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    counts = found.groupBy(F.col("passage_id").alias("id")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return items.select("id").join(counts, "id", "left").select(F.col("id").alias("item_id"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def claim_missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("select role, count(*) as n_turns, count(distinct conv_id) as n_conversations from conversations group by role")
+def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n_turns"), F.count_distinct("conv_id").alias("n_conversations"))
+
+
+@query("""select s.role from (values ('system'), ('user'), ('assistant'), ('tool'), ('critic')) s(role) where not exists (select 1 from conversations c where c.role = s.role and length(c.text) > 0)""")
+def empty_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([(r,) for r in ("system", "user", "assistant", "tool", "critic")], "role string")
+    return wanted.join(table(spark, sf_dir, "conversations").where(F.length("text") > 0), "role", "left_anti")
+
+
+@query(literals.values_sql(literals.CHECKED, ["claim_id", "problems", "flags", "kept"]))
+def claim_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = grounding.check_claims(literals.claims(spark), literals.paragraphs(spark), literals.subject(spark), literals.known_names(spark))
+    return out.select("claim_id", F.array_join("problems", "; ").alias("problems"), F.array_join("flags", "; ").alias("flags"), "kept")
+
+
+@query(literals.values_sql(literals.NAMES, ["text", "names"]))
+def case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = spark.createDataFrame([(t,) for t, _ in literals.NAMES], "text string")
+    return rows.select("text", F.array_join(grounding.case_names(F.col("text")), " | ").alias("names"))
+
+
+# Constraints
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n_rows from lineitem group by all having count(*) > 1")
+def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constraints.unique_violations(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey is not null and o_custkey not in (select c_custkey from customer where c_mktsegment <> 'BUILDING')")
+def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'")
+    return constraints.orphans(table(spark, sf_dir, "orders"), "o_custkey", parents, "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("select event_id, event_type from events where event_type not in ('click', 'view')")
+def domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constraints.domain_violations(table(spark, sf_dir, "events"), "event_type", ["click", "view"]).select("event_id", "event_type")
+
+
+@query("select l_orderkey, l_linenumber, l_discount from lineitem where not l_discount between 0 and 0.08")
+def range_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constraints.range_violations(table(spark, sf_dir, "lineitem"), "l_discount", 0, 0.08).select("l_orderkey", "l_linenumber", "l_discount")
+
+
+@query("""with l as (select l_orderkey, count(*) as n_lines, max(l_linenumber) as top from lineitem group by l_orderkey)
+select o_orderkey, coalesce(n_lines, 0)::bigint as n_lines, top::int as last_line from orders left join l on o_orderkey = l_orderkey where n_lines is null or n_lines <> top""")
+def cardinality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_linenumber").alias("last_line"))
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.where("n_lines is null or n_lines <> last_line").select("o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "last_line")
+
+
+@query("select c_custkey, case when c_nationkey % 5 = 0 then null else c_nationkey end::int as c_nationkey from customer")
+def delete_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0")
+    return constraints.set_null(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", gone, "n_nationkey")
+
+
+# Evaluation, graph, vectors
+
+
+@query("""with p as (select p_partkey, p_size % 4 = 0 as trap, p_size > 20 as resolved, p_retailprice > 1000 as verified from part),
+m as (select count(case when trap and verified then 1 end)::double as a, count(case when trap and resolved then 1 end)::double as b,
+  case when count(case when not trap then 1 end) > 0 then round(count(case when not trap and resolved then 1 end) / count(case when not trap then 1 end), 4) else 0 end as c from p)
+select * from (select 'fake_marked_verified' as metric, '==' as op, 0.0::double as target, a as value, a = 0 as passed from m
+union all select 'traps_resolved', '==', 0.0, b, b = 0 from m union all select 'correct_case_rate', '>=', 0.95, c, c >= 0.95 from m)""")
+def eval_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates over a labelled set made of parts: some sizes are traps, larger ones count as resolved."""
+    part = table(spark, sf_dir, "part")
+    expected = part.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"), F.when(F.col("p_size") % 4 == 0, "trap_fake").otherwise("popular").alias("kind"), F.array("p_name").alias("expect"))
+    found = F.when(F.col("p_size") > 20, F.array(F.struct(F.col("p_name").alias("case_id")))).otherwise(F.expr("cast(array() as array<struct<case_id:string>>)"))
+    results = part.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_size") > 20, "resolved").otherwise("not_found").alias("status"), found.alias("candidates"), F.when(F.col("p_retailprice") > 1000, "verified").otherwise("could_not_verify").alias("verification"))
+    return evals.gates(evals.metrics(evals.judged(expected, results)))
+
+
+@query("""with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 100 = 0), e as (select vec_id as id, embedding::double[] as v from embeddings),
+s as (select query_id, id, list_cosine_similarity(q, v) as similarity from q join e on id <> query_id), r as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from s)
+select query_id, id, rank::int as rank, round(similarity, 6) as similarity from r where rank <= 5""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    out = citator.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 5)
+    return out.select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""with recursive e as (select n_nationkey::varchar as a, ((n_nationkey * 7 + 3) % 25)::varchar as b from nation), r(src, dst, hops) as (select a, b, 1 from e union all select r.src, e.b, r.hops + 1 from r join e on r.dst = e.a where r.hops < 10)
+select src, dst, min(hops)::int as hops from r where src <> dst group by src, dst""")
+def edge_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b"))
+    return citator.reachable(edges, "a", "b")
+
+
+# Profiles and sinks
+
+
+@query(r"select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_words, (length(coalesce(text, '')) // 4)::bigint as n_tokens from documents")
+def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.size_estimate(table(spark, sf_dir, "documents"))
+
+
+@query("select sha256(text) as sha, count(*) as n_copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.copies(table(spark, sf_dir, "documents"))
+
+
+@query("""with l as (select id, line, count(*) as n from (select doc_id as id, unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by id, line),
+t as (select id, sum(n) as total from l group by id), k as (select line from l group by line having count(*) between 2 and 100),
+p as (select distinct x.id as a, y.id as b from l x join l y on x.line = y.line and x.id < y.id where x.line in (select line from k)),
+s as (select a, b, sum(least(x.n, y.n)) as shared from p join l x on x.id = a join l y on y.id = b and y.line = x.line group by a, b)
+select a, b, shared::bigint as shared, 2 * shared / (u.total + v.total) as similarity from s join t u on u.id = a join t v on v.id = b where shared >= 2""")
+def copy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.line_overlap(table(spark, sf_dir, "documents"))
+
+
+@query("""select n_nationkey, '{"nation":"' || n_name || '","region":"' || r_name || '"}' as json from nation join region on n_regionkey = r_regionkey""")
+def json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region"))).alias("json"))
