@@ -1,13 +1,12 @@
 """Reporter citations in running text, as column expressions.
 
-The grammar is a table, one row per reporter. Spans are found without a match-position builtin: every hit of a
-pattern is replaced by itself between marks, the text is split at the marks, and running lengths give offsets.
+The grammar is a table, one pattern per reporter, joined into one. Spans are found without a match-position builtin:
+every hit is replaced by itself between marks, the text is split at the marks, and running lengths give offsets.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,28 +22,16 @@ SERIES = {"cri": "Cri", "l&s": "L&S", "tax": "Tax"}
 _YEAR = r"(?<!\d)(?:\(\d{4}\)|\d{4})\s*"
 
 
-@dataclass(frozen=True)
-class Reporter:
-    """pattern finds a citation; the others read one part of a found citation (group 1)."""
-
-    name: str
-    pattern: str
-    year: str = r"(\d{4})"
-    volume: str | None = None
-    page: str = r"(\d{1,5})$"
-    court: str | None = None
-    series: str | None = None
-    supplement: str | None = None
-
-
-REPORTERS = [
-    Reporter("SCC", _YEAR + r"(?:Supp\s*)?\(?\d{1,2}\)?\s*SCC(?:\s*\((?:Cri|L\s*&\s*S|Tax)\))?\s+\d{1,5}\b", volume=r"\(?(\d{1,2})\)?\s*SCC", series=r"SCC\s*\(([^)]*)\)", supplement=r"(Supp)"),
-    Reporter("AIR", r"\bAIR\s*\d{4}\s+[A-Za-z]{2,10}\s+\d{1,5}\b", court=r"\d{4}\s+([A-Za-z]{2,10})"),
-    Reporter("SCR", _YEAR + r"(?:Supp\s*)?(?:\(?\d{1,2}\)?\s*)?SCR\s+\d{1,5}\b", volume=r"^\(?\d{4}\)?\s*(?:Supp\s*)?\(?(\d{1,2})\)?\s*SCR", supplement=r"(Supp)"),
-    Reporter("SCALE", r"\(\d{4}\)\s*\d{1,2}\s*SCALE\s+\d{1,5}\b", volume=r"(\d{1,2})\s*SCALE"),
-    Reporter("JT", r"\bJT\s*\d{4}\s*\(\d{1,2}\)\s*SC\s+\d{1,5}\b", volume=r"\((\d{1,2})\)"),
-    Reporter("INSC", r"(?<!\d)\d{4}\s*INSC\s+\d{1,5}\b"),
-]
+REPORTERS = {
+    "SCC": _YEAR + r"(?:Supp\s*)?\(?\d{1,2}\)?\s*SCC(?:\s*\((?:Cri|L\s*&\s*S|Tax)\))?\s+\d{1,5}\b",
+    "AIR": r"\bAIR\s*\d{4}\s+[A-Za-z]{2,10}\s+\d{1,5}\b",
+    "SCR": _YEAR + r"(?:Supp\s*)?(?:\(?\d{1,2}\)?\s*)?SCR\s+\d{1,5}\b",
+    "SCALE": r"\(\d{4}\)\s*\d{1,2}\s*SCALE\s+\d{1,5}\b",
+    "JT": r"\bJT\s*\d{4}\s*\(\d{1,2}\)\s*SC\s+\d{1,5}\b",
+    "INSC": r"(?<!\d)\d{4}\s*INSC\s+\d{1,5}\b",
+}
+#: At one place at most one reporter's pattern fits, as each names its reporter.
+ANY = "(?i)" + "|".join(f"(?:{p})" for p in REPORTERS.values())
 
 _MARK = "\u0001"
 
@@ -55,54 +42,38 @@ def prepare(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(round_, "(?<=[A-Za-z])\\.", ""), "\\s+", " "))
 
 
-def _part(raw: Column, pattern: str | None, kind: str) -> Column:
-    if pattern is None:
-        return F.lit(None).cast(kind)
-    found = F.regexp_extract(raw, "(?i)" + pattern, 1)
-    return F.when(found != "", found).cast(kind)
-
-
-def _fields(raw: Column, start: Column, r: Reporter) -> Column:
-    court = _part(raw, r.court, "string")
-    court = F.when(F.upper(court).isin(UPPER_COURTS), F.upper(court)).otherwise(F.initcap(court))
-    series = F.lower(F.regexp_replace(F.coalesce(_part(raw, r.series, "string"), F.lit("")), "\\s+", ""))
-    named = F.lit(None).cast("string")
-    for key, value in SERIES.items():
-        named = F.when(series == key, value).otherwise(named)
-    return F.struct(
+def _fields(raw: Column, start: Column) -> Column:
+    """The parts of one found citation, with its canonical form and reporter key."""
+    part = lambda pattern: F.nullif(F.regexp_extract(raw, "(?i)" + pattern, 1), F.lit(""))
+    court, series = part(r"^AIR\s*\d{4}\s+([a-z]+)"), F.lower(F.regexp_replace(part(r"SCC\s*\(([^)]*)\)"), "\\s+", ""))
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in SERIES.items() for x in kv)), series)
+    first = F.struct(
         start.alias("start"),
         (start + F.length(raw)).alias("end"),
-        F.lit(r.name).alias("reporter"),
-        _part(raw, r.year, "int").alias("year"),
-        _part(raw, r.page, "int").alias("page"),
-        _part(raw, r.volume, "int").alias("volume"),
-        (court if r.court else F.lit(None).cast("string")).alias("court"),
-        (named if r.series else F.lit(None).cast("string")).alias("series"),
-        (F.length(F.coalesce(_part(raw, r.supplement, "string"), F.lit(""))) > 0).alias("supplement"),
+        F.upper(part("(SCC|SCR|SCALE|INSC|AIR|JT)")).alias("reporter"),
+        part(r"(\d{4})").cast("int").alias("year"),
+        part(r"(\d{1,5})$").cast("int").alias("page"),
+        part(r"^\D*\d{4}\D*?(\d{1,2})\)?\s*(?:SCC|SCR|SCALE|SC\s)").cast("int").alias("volume"),
+        F.when(F.upper(court).isin(UPPER_COURTS), F.upper(court)).otherwise(F.initcap(court)).alias("court"),
+        named.alias("series"),
+        raw.rlike("(?i)supp").alias("supplement"),
         raw.alias("raw"),
     )
+    kept = ["start", "end", "reporter", "year", "page", "volume", "court", "series", "supplement", "raw"]
+    return let(first, lambda c: F.struct(*(c[k].alias(k) for k in kept), _canonical(c).alias("canonical"), _reporter_key(c).alias("reporter_key")))
 
 
-def _hits(prepared: Column, r: Reporter) -> Column:
-    """Structs of all hits of one reporter; odd pieces between marks are hits."""
-    pieces = F.split(F.regexp_replace(prepared, "(?i)" + r.pattern, f"{_MARK}$0{_MARK}"), _MARK)
+def scan(prepared: Column) -> Column:
+    """Citations of a prepared text in order, none inside another: structs with their span, parts and written form."""
+    pieces = F.split(F.regexp_replace(prepared, ANY, f"{_MARK}$0{_MARK}"), _MARK)
 
     def located(ps: Column) -> Column:
         at = lambda i: F.aggregate(F.slice(ps, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p))
-        return F.filter(F.transform(ps, lambda p, i: F.when(i % 2 == 1, _fields(p, at(i), r))), lambda x: x.isNotNull())
+        return F.filter(F.transform(ps, lambda p, i: F.when(i % 2 == 1, let(at(i), lambda start: _fields(p, start)))), lambda x: x.isNotNull())
 
     return let(pieces, located)
 
 
-def scan(prepared: Column) -> Column:
-    """Citations of a prepared text in order; of overlapping hits the first, and of those the longest, stays."""
-    found = F.concat(*(_hits(prepared, r) for r in REPORTERS))
-    keyed = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("s"), (x["start"] - x["end"]).alias("l"), x.alias("x"))))
-    step = lambda kept, k: F.when((F.size(kept) > 0) & (k["x"]["start"] < F.element_at(kept, -1)["end"]), kept).otherwise(F.concat(kept, F.array(k["x"])))
-    empty = lambda ks: F.filter(F.transform(ks, lambda k: k["x"]), lambda x: F.lit(False))
-    return let(keyed, lambda ks: F.aggregate(ks, empty(ks), step))
-
-
 def find_citations(text: Column) -> Column:
     return scan(prepare(text))
 
@@ -113,7 +84,7 @@ def parse_citation(text: Column) -> Column:
     return let(prepare(text), lambda whole: let(F.struct(scan(whole).alias("found"), whole.alias("whole")), lambda p: F.when(one(p), F.get(p["found"], F.lit(0)))))
 
 
-def canonical(c: Column) -> Column:
+def _canonical(c: Column) -> Column:
     """The one way to write a citation."""
     year, volume, page = c["year"].cast("string"), c["volume"].cast("string"), c["page"].cast("string")
     series = F.when(c["series"].isNotNull(), F.concat(F.lit(" ("), c["series"], F.lit(")"))).otherwise("")
@@ -130,11 +101,19 @@ def canonical(c: Column) -> Column:
     )
 
 
-def reporter_key(c: Column) -> Column:
+def _reporter_key(c: Column) -> Column:
     """What a matter has at most one citation of."""
     return F.when(c["series"].isNotNull(), F.concat(c["reporter"], F.lit(" ("), c["series"], F.lit(")"))).when(c["reporter"] == "AIR", F.concat(F.lit("AIR "), c["court"])).otherwise(c["reporter"])
 
 
+def canonical(c: Column) -> Column:
+    return c["canonical"]
+
+
+def reporter_key(c: Column) -> Column:
+    return c["reporter_key"]
+
+
 def plausibility_issues(c: Column, today: dt.date) -> Column:
     """Why the citation cannot be of a real report, in fixed order; empty if it can."""
     first = F.lit(FOUNDED)
