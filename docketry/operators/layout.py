@@ -189,3 +189,136 @@ def next_content(lines: DataFrame) -> DataFrame:
     line = content(F.col("raw"))
     ahead = F.first(F.when(line != "", line), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     return lines.withColumn("following", F.coalesce(ahead, F.lit("")))
+
+
+# Report pages: running heads, margins; signed pages: stamps; archive pages: cut line tails
+
+REPORTS_HEAD = "S\\S{0,2}P\\S{1,6}\\W{0,3}[Cc]\\S{2,3}R[Tt]\\W{0,3}\\S{0,2}EP|Digital Supreme Court Reports"
+VOLUME_HEAD = "(?i)^[\\[(]\\s*\\S{4}\\s*[\\])jJ}]\\s+(?:SUPP\\.?\\s*)?\\S{1,3}\\s+S\\s*\\.\\s*C\\s*\\."
+PRINTER_MARK = "(?i)^\\d{1,3}\\s*[-—]\\s*\\d{1,3}\\s+S\\.?\\s*C\\.?\\s+India"
+SHORT_HEAD = "S\\s*[.;:,]?\\s*C\\s*[.;:,]?\\s*R\\b\\.?|REPORTS\\b"
+TITLE_HEAD = "\\s(?:v|vs|V)\\.?\\s"
+AUTHOR_IN_HEAD = "[(\\[][^)\\]]{2,30},\\s*\\S{1,4}\\.?\\s*[)\\]]"
+HEAD_PAGE = "^\\S{0,2}\\d{2,4}\\b|\\b\\d{2,4}\\S{0,2}$"
+MARGIN_LETTER = "^[^\\w\\s()]{0,2}[A-H0][^\\w\\s()]{0,2}$|^[^\\w\\s()]{1,2}$"
+HANGING_NUMBER = "^\\(?[1-9]\\d{0,2}(?:\\.\\d{1,3})*[.)]?$"
+
+
+def head_key(line: Column) -> Column:
+    return F.regexp_replace(F.lower(line), "[^a-z]", "")
+
+
+def repeated_heads(lines: DataFrame, top: int = 4) -> DataFrame:
+    """(doc_id, key): letters of title lines that stand more than once among the first lines of pages."""
+    keyed = edges(lines).where(F.col("from_top") <= top).select("doc_id", head_key(F.col("line")).alias("key")).where("key <> ''")
+    return keyed.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "key")
+
+
+def is_running_head(line: Column, repeated: Column) -> Column:
+    """Whether a content line is a report's head: its name, the volume, a page number, a printer's mark, or a title with a
+    page number, with an author, or seen on other pages."""
+    title = line.rlike(TITLE_HEAD) & (line.rlike(HEAD_PAGE) | line.rlike(AUTHOR_IN_HEAD) | repeated)
+    short = line.rlike(SHORT_HEAD) & (F.length(line) < 45)
+    return line.rlike(REPORTS_HEAD) | line.rlike(VOLUME_HEAD) | line.rlike(PAGE_NUMBER) | line.rlike(PRINTER_MARK) | short | title
+
+
+def strip_heads(lines: DataFrame, top: int = 4) -> DataFrame:
+    """Content lines without the unbroken run of heads at the top of each page.
+
+    A title that wraps, with the page number on its first line and the `v.` on its second, all capitals, is a head too.
+    """
+    kept = edges(lines).withColumn("key", head_key(F.col("line")))
+    kept = kept.join(repeated_heads(lines, top).withColumn("again", F.lit(True)), ["doc_id", "key"], "left")
+    page = Window.partitionBy("doc_id", "page_no").orderBy("from_top")
+    after, before = F.lead("line").over(page), F.lag("line").over(page)
+    wraps = lambda a, b: a.rlike("\\s\\d{2,4}$|^\\d{2,4}\\s") & ~a.rlike("[a-z]") & ~F.regexp_replace(b, TITLE_HEAD, " ").rlike("[a-z]") & b.rlike(TITLE_HEAD)
+    head = is_running_head(F.col("line"), F.coalesce("again", F.lit(False))) | F.coalesce(wraps(F.col("line"), after), F.lit(False)) | F.coalesce(wraps(before, F.col("line")), F.lit(False))
+    kept = kept.withColumn("is_head", F.when(head & (F.col("from_top") <= top), 1).otherwise(0))
+    kept = kept.withColumn("run", F.min("is_head").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    return kept.where("run = 0").select("doc_id", "page_no", "line_no", "raw", "line")
+
+
+def strip_margins(lines: DataFrame) -> DataFrame:
+    """Lines whose segments outside the page's text column are gone: margin letters, and notes left and right of it;
+    a paragraph number that hangs left of the column stays."""
+    placed = lines.join(text_column(lines), ["doc_id", "page_no"])
+
+    def stays(s: Column) -> Column:
+        letter = s["text"].rlike(MARGIN_LETTER)
+        left = (s["end"] <= F.col("left")) & ~s["text"].rlike(HANGING_NUMBER)
+        right = s["start"] >= F.col("right")
+        return ~(letter | left | right)
+
+    kept = placed.withColumn("s", F.filter(segments(F.col("raw")), stays))
+    text = F.array_join(F.transform("s", lambda s: s["text"]), "   ")
+    start = F.when(F.size("s") > 0, F.col("s")[0]["start"] - F.col("left")).otherwise(0)
+    return kept.select("doc_id", "page_no", "line_no", F.concat(F.repeat(F.lit(" "), F.greatest(start, F.lit(0))), text).alias("raw"), start.alias("indent"))
+
+
+def strip_stamps(lines: DataFrame) -> DataFrame:
+    """Lines without signature stamps that share lines with the text: a fold over each page's lines in order.
+
+    The states are outside, after the stamp's first line, inside the signer's name, and after the date. The stamp's
+    segment goes from its line; a line that held nothing else goes with it, as do blank lines inside the stamp.
+    """
+    rows = lines.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("l"))
+
+    def step(acc: Column, x: Column) -> Column:
+        first = F.regexp_extract(x["raw"], "^\\s*(\\S+(?: {1,2}\\S+)*)", 1)
+        state = acc["state"]
+        drop = (
+            (first == "Signature Not Verified")
+            | ((state == 1) & first.startswith("Digitally signed"))
+            | ((state == 2) & (first != "") & (first.rlike("^Date:\\s*\\d{4}[.\\-]\\d{2}[.\\-]\\d{2}") | (F.upper(first) == first)))
+            | ((state == 3) & (first.rlike("^\\d{1,2}:\\d{2}:\\d{2}(?:\\s*[A-Z]{2,4})?$") | first.startswith("Reason:")))
+        )
+        after = (
+            F.when(first == "Signature Not Verified", 1)
+            .when(drop & (state == 1), 2)
+            .when(drop & (state == 2), F.when(first.startswith("Date:"), 3).otherwise(2))
+            .when(drop & (state == 3), F.when(first.startswith("Reason:"), 0).otherwise(3))
+            .when(first != "", 0)
+            .otherwise(state)
+        )
+        raw = F.when(drop, F.regexp_replace(x["raw"], "^(\\s*)\\S+(?: {1,2}\\S+)*", "")).otherwise(x["raw"])
+        gone = (drop | (after > 0)) & (F.trim(raw) == "")
+        out = F.when(gone, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(x["line_no"].alias("line_no"), raw.alias("raw")))))
+        return F.struct(after.alias("state"), out.alias("out"))
+
+    empty = F.expr("cast(array() as array<struct<line_no:int,raw:string>>)")
+    folded = F.aggregate(F.transform("l", lambda x: F.struct(x["line_no"].cast("int").alias("line_no"), x["raw"].alias("raw"))), F.struct(F.lit(0).alias("state"), empty.alias("out")), step)
+    return rows.select("doc_id", "page_no", F.explode(folded["out"]).alias("x")).select("doc_id", "page_no", "x.line_no", "x.raw")
+
+
+def merge_tails(lines: DataFrame) -> DataFrame:
+    """Lines whose ends were cut off and printed at the start of the next line, put together again.
+
+    Only where a document's long lines are usually indented by four or more. A tail is a short line at the margin behind
+    an indented one; whether the cut fell inside a word is told by the document's own words.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
+    rows = lines.withColumns({"i": indent(F.col("raw")), "t": F.trim("raw")})
+    usual = rows.where(F.length("t") > 40).groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_no", "line_no")).alias("at")).groupBy("doc_id").agg(F.min_by("i", F.struct(-F.col("n"), "at")).alias("usual"))
+    rows = rows.join(usual, "doc_id", "left")
+    short = (F.col("t") != "") & (F.col("i") <= 1) & (F.length("t") <= 12) & (F.size(F.split("t", "\\s+")) <= 2)
+    tail = (F.coalesce("usual", F.lit(0)) >= 4) & short & (F.coalesce(F.lag("i").over(order), F.lit(0)) >= 4) & (F.coalesce(F.lag("t").over(order), F.lit("")) != "")
+    rows = rows.withColumn("tail", tail).withColumn("before", F.lag("raw").over(order))
+    a = F.element_at(F.split(F.trim("before"), "\\s+"), -1)
+    b = F.split("t", "\\s+")[0]
+    rows = rows.withColumns({"head": F.when(F.col("tail"), F.regexp_replace(a, "\\W+$", "")), "end": F.when(F.col("tail"), F.regexp_replace(b, "^\\W+|\\W+$", "")), "cut_after_sign": F.col("tail") & a.rlike("\\W$")})
+    words = vocabulary(lines)
+    for name, key in (("n_joined", F.lower(F.concat("head", "end"))), ("n_head", F.lower("head")), ("n_end", F.lower("end"))):
+        rows = rows.withColumn("word", key).join(words.withColumnRenamed("n", name), ["doc_id", "word"], "left").drop("word")
+    digits = lambda c: F.col(c).rlike("^\\d+$")
+    few = F.lower("end").isin("a an and any are as at be but by can do for had has he her his if in is it its may no not now of on or our she so the to up was we who".split())
+    count = lambda c: F.coalesce(c, F.lit(0))
+    glued = (
+        F.when(F.col("cut_after_sign") | (F.col("head") == "") | (F.col("end") == ""), False)
+        .when(digits("head") & (digits("end") | F.col("end").isin("st", "nd", "rd", "th")), True)
+        .when(count("n_joined") > 0, True)
+        .when((digits("head") != digits("end")) | few, False)
+        .otherwise(~((count("n_head") > 1) & (count("n_end") > 1)))
+    )
+    rows = rows.withColumn("add", F.when(F.col("tail"), F.concat(F.when(glued, "").otherwise(" "), F.col("t"))))
+    nexts = F.lead("add").over(order)
+    return rows.withColumn("raw", F.concat("raw", F.coalesce(nexts, F.lit("")))).where(~F.col("tail")).select("doc_id", "page_no", "line_no", "raw")

@@ -537,3 +537,51 @@ def copy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region"))).alias("json"))
+
+
+# Segmentation and page furniture of literal documents
+
+
+@query(literals.values_sql(literals.SPLIT, ["doc_id", "ordinal", "opinion", "court_number", "text"]))
+def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.operators import segment
+
+    ship(spark)
+    return segment.paragraphs(segment.split_documents(literals.documents(spark)))
+
+
+@query()
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the table as one opinion with numbered paragraphs."""
+    from docketry.operators import segment
+
+    ship(spark)
+    return segment.paragraphs(segment.split_documents(table(spark, sf_dir, "documents")))
+
+
+@query(literals.values_sql(literals.UNSTAMPED, ["line_no", "raw"]))
+def stamp_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("s", 1, i + 1, r) for i, r in enumerate(literals.STAMPED)], "doc_id string, page_no int, line_no int, raw string")
+    return layout.strip_stamps(rows).select("line_no", F.trim("raw").alias("raw"))
+
+
+@query("""select distinct sha256(text) as sha from documents""")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the table read as a stream of files, each once."""
+    import uuid
+
+    from docketry.streaming import documents
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{base.rstrip('/')}/docketry-stream-{uuid.uuid4().hex[:12]}"
+    schema = table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
+    stream = stream.withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    documents.run_once(documents.once(stream, "text", "at").select("sha"), f"{path}/out", f"{path}/state")
+    return spark.read.schema("sha string").parquet(f"{path}/out")
+
+
+def _own_folder() -> str:
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="docketry-stream-")

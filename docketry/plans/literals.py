@@ -147,3 +147,67 @@ CHECKED = [
     (11, "", "", True),
     (12, "the claim is empty", "", False),
 ]
+
+
+REPORT = """IN THE COURT OF HILLS
+Lal Chand v. Union of Hills
+
+J U D G M E N T
+
+P. RAO, J.
+
+1. The petitioner owns a mill and asks that the Govern-
+ment open it again.
+
+2. The govern-
+ment says that the mill was closed by law. The government relies on
+
+   "18. Procedure of closure"
+
+BACKGROUND
+
+3. The petition is allowed.
+
+...........J.
+[P. RAO]
+New Delhi;
+May 1, 1991
+
+K. SEN, J.—I do not agree. The petition fails.
+"""
+
+
+def documents(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("r", REPORT), ("plain", "One block of text.\n\nAnother block."), ("none", None)], "doc_id string, text string")
+
+
+#: document, ordinal, opinion, the court's own number, text
+SPLIT = [
+    ("r", 1, 0, "1", "The petitioner owns a mill and asks that the Government open it again."),
+    ("r", 2, 0, "2", 'The government says that the mill was closed by law. The government relies on\n\n"18. Procedure of closure"'),
+    ("r", 3, 0, None, "BACKGROUND"),
+    ("r", 4, 0, "3", "The petition is allowed."),
+    ("r", 5, 1, None, "I do not agree. The petition fails."),
+    ("plain", 1, 0, None, "One block of text."),
+    ("plain", 2, 0, None, "Another block."),
+]
+
+STAMPED = [
+    "The first line of the page.",
+    "Signature Not Verified    and here the text goes on",
+    "",
+    "Digitally signed by",
+    "P RAO",
+    "Date: 2021.03.04         beside the date",
+    "17:20:11 IST",
+    "Reason:",
+    "THE TEXT AFTER THE STAMP",
+]
+
+#: line number, text
+UNSTAMPED = [
+    (1, "The first line of the page."),
+    (2, "and here the text goes on"),
+    (6, "beside the date"),
+    (9, "THE TEXT AFTER THE STAMP"),
+]
