@@ -61,20 +61,15 @@ def crc_of_id(column: str | Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def bounded_sample(rows: DataFrame, classes: str, key: str, per_class: int, seed: str) -> DataFrame:
+def bounded_sample(rows: DataFrame, classes: str, key: str, per_class: int, seed: str, most_classes: int = 200) -> DataFrame:
     """About per_class rows of each class, chosen by a hash of the key, so the same rows at every run.
 
-    rows: only narrow columns (no texts). The size is bounded by per_class times the number of classes:
-    the sampling rate of a class is per_class over its count, and a per-class rank under 2 * per_class holds
-    the rare excess.
+    rows: only narrow columns (no texts). A class gives each row the chance per_class over its count; the most_classes
+    largest classes take part. So the sample is about per_class * most_classes rows at most, whatever the input.
     """
     spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = rows.groupBy(classes).agg(F.count(F.lit(1)).alias("__n"))
-    kept = (
-        rows.join(F.broadcast(counts), classes)
-        .withColumn("__u", spread)
-        .where(F.col("__u") * F.col("__n") < F.lit(float(per_class)) * 1.1)
-    )
+    counts = rows.groupBy(classes).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), classes).limit(most_classes)
+    kept = rows.join(F.broadcast(counts), classes).withColumn("__u", spread).where(F.col("__u") * F.col("__n") < F.lit(float(per_class)) * 1.1)
     return kept.drop("__u", "__n")
 
 

@@ -130,7 +130,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a few windows each of at most about per_class labelled texts of each language."""
     rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")).where("__lang is not null and __text is not null")
     narrow = rows.select("__id", "__lang").where("__id is not null")
-    chosen = bounded_sample(narrow, "__lang", "__id", per_class, "lang").select("__id").distinct()
+    chosen = bounded_sample(narrow, "__lang", "__id", per_class, "lang", MOST_CLASSES).select("__id").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
