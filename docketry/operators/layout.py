@@ -134,11 +134,12 @@ def ends_sentence(line: Column) -> Column:
     return bare.rlike("[.?!:;]$") & ~bare.rlike(ABBREVIATION_END)
 
 
-def paragraphs(lines: DataFrame, indent_by: int = 2, short: float = 0.8) -> DataFrame:
+def paragraphs(lines: DataFrame, indent_by: int = 2, short: float = 0.8, alone: str | None = None) -> DataFrame:
     """(doc_id, paragraph, text, n_lines) from content lines (doc_id, page_no, line_no, raw).
 
     A paragraph begins behind a blank line, at a number with a dot, at an indented line behind a finished one, and
-    behind a finished line that is short of the page's width. A word hyphenated at a line's end is not joined here.
+    behind a finished line that is short of the page's width. Lines that match `alone` are paragraphs of their own. A word
+    hyphenated at a line's end is not joined here.
     """
     order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
     rows = blank_islands(lines).withColumns({"indent": indent(F.col("raw")), "width": F.length(F.rtrim("raw"))})
@@ -152,6 +153,8 @@ def paragraphs(lines: DataFrame, indent_by: int = 2, short: float = 0.8) -> Data
         | (finished & (F.col("indent") >= before("indent") + indent_by))
         | (finished & (before("width") < before("full") * short))
     )
+    if alone is not None:
+        starts = starts | F.col("line").rlike(alone) | F.coalesce(before("line").rlike(alone), F.lit(False))
     rows = rows.withColumn("starts", F.when(starts, 1).otherwise(0))
     rows = rows.withColumn("paragraph", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = rows.groupBy("doc_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page_no", "line_no", "line"))).alias("l"), F.count(F.lit(1)).alias("n_lines"))

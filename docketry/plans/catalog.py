@@ -585,3 +585,27 @@ def _own_folder() -> str:
     import tempfile
 
     return tempfile.mkdtemp(prefix="docketry-stream-")
+
+
+def _cleaned(rows: DataFrame, n: int) -> DataFrame:
+    return rows.select("doc_id", F.substring("body", 1, n).alias("body"), "trailer", F.array_join("footnotes", "|").alias("footnotes"), F.array_join("warnings", "|").alias("warnings"))
+
+
+_CLEANED = ["doc_id", "body", "trailer", "footnotes", "warnings"]
+
+
+@query(literals.values_sql([(d, b[:26], *r) for d, b, *r in literals.CLEANED_REPORT], _CLEANED))
+def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.operators import cleaning
+
+    ship(spark)
+    return _cleaned(cleaning.clean_report(spark.createDataFrame([("r", literals.REPORT_PAGES)], "doc_id string, text string")), 26)
+
+
+@query(literals.values_sql([(d, b[:26], *r) for d, b, *r in literals.CLEANED], _CLEANED))
+def clean_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.operators import cleaning
+
+    ship(spark)
+    docs = spark.createDataFrame([("a", literals.ARCHIVE), ("s", literals.SIGNED)], "doc_id string, text string")
+    return _cleaned(cleaning.clean_site(docs), 26)

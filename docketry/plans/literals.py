@@ -211,3 +211,27 @@ UNSTAMPED = [
     (6, "beside the date"),
     (9, "THE TEXT AFTER THE STAMP"),
 ]
+
+
+REPORT_PAGES = "\f".join([
+    "\n".join(["SUPREME COURT REPORTS      [1978] 3 S.C.R.", "", "LAL CHAND", "v.", "UNION OF HILLS", "[P. RAO AND K. SEN, JJ.]",
+               "The Judgment of the Court was", "delivered by", "RAO, J.-The petitioner owns a mill beside the river and he",
+               "asks that it be opened again as soon as it can be.", "(1) [1950] S.C.R. 605."]),
+    "\n".join(["LAL CHAND v. UNION (Rao, J.)      965", "", "The mill was closed without a hearing and without any reason.",
+               "The petition is allowed.", "                                        Petition allowed.", "Agent for the petitioner: A. B. Seth."]),
+])
+
+SIGNED = "\f".join([
+    "\n".join(["REPORTABLE", "IN THE SUPREME COURT OF INDIA", "JUDGMENT", "", "1. The petitioner owns a mill that", "Signature Not Verified    lies at the river.", "Digitally signed by", "P RAO", "Date: 2021.03.04", "17:20:11 IST", "Reason:", "1  AIR 1981 SC 90.", "Page 1 of 3"]),
+    "\n".join(["REPORTABLE", "2. The mill was closed.", "New Delhi;", "IN THE SUPREME COURT OF INDIA", "CAUSE TITLE AGAIN", "JUDGMENT", "", "I agree.", "Page 2 of 3"]),
+    "\n".join(["REPORTABLE", "ITEM NO.5", "RECORD OF PROCEEDINGS", "The court met.", "Page 3 of 3"]),
+])
+
+ARCHIVE = "http://JUDIS.NIC.IN    SUPREME COURT OF INDIA\nPETITIONER:\nLAL CHAND\nJUDGMENT:\nThe petitioner owns a mill beside the river, and he works there.\n(1) [1957] 31 I.T.R. 826.\n  31\nIt was closed, and no reason was given to him at any time.\n                              Petition dismissed.\nV. P. S.\n"
+
+#: document, first words of the body, trailer, footnotes, warnings
+CLEANED = [
+    ("a", "The petitioner owns a mill", "Petition dismissed.\nV. P. S.", "(1) [1957] 31 I.T.R. 826.", ""),
+    ("s", "JUDGMENT\n\n1. The petitioner owns a", "ITEM NO.5\nRECORD OF PROCEEDINGS\nThe court met.", "1 AIR 1981 SC 90.", ""),
+]
+CLEANED_REPORT = [("r", "RAO, J.-The petitioner owns", "Petition allowed.\nAgent for the petitioner: A. B. Seth.", "(1) [1950] S.C.R. 605.", "")]
