@@ -1,7 +1,6 @@
 """Quality by votes of the nearest labelled texts in a latent-semantic space.
 
-A text's terms are the shapes of its words (case, digits, other signs), the signs that are in them, and how often
-words return. Their hashed counts are damped, weighted by rarity and reduced to a few latent dimensions by a
+A text's terms are the shapes of its words (case, digits, other signs) and how often words and lines return. Their hashed counts are damped, weighted by rarity and reduced to a few latent dimensions by a
 singular value decomposition of the training texts. The labelled vectors are broadcast; every document is compared
 with all of them, in blocks, and takes the labels of the nearest, weighted by cosine.
 """
@@ -30,7 +29,6 @@ CACHED = 400_000
 THRESHOLD = 0.3
 EMPTY = 0.0  # score of a text without words
 
-_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -74,7 +72,6 @@ class Counts:
             out[b] = out.get(b, 0) + n
         n = len(words)
         out[self.repeat] = out.get(self.repeat, 0) + sum(a == b for a, b in zip(words, words[1:]))  # noqa: B905
-        # Sign shares.
         out[self.again] = out.get(self.again, 0) + n - len(seen)
         lines = text.split("\n")
         out[self.lines] = out.get(self.lines, 0) + n * (1 - len(set(lines)) / len(lines))
