@@ -5,10 +5,10 @@ Claims: claim_id, doc_id, section, text, paragraphs (array of ordinals). Paragra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -24,6 +24,16 @@ PARTY_WORDS = 10
 NAME_MATCH, NAME_COVERAGE = T.SKELETON_MATCH, 0.8
 
 
+def _window_key(hashes: Column, at: Column, n: int) -> Column:
+    """Hash of n neighbouring word hashes from a place on; missing ones are null, which the hash passes over."""
+    return F.xxhash64(*(F.get(hashes, at + j) for j in range(n)))
+
+
+def _window_keys(n: int) -> Callable[[Column], Column]:
+    """All different window keys of an array of word hashes."""
+    return lambda hashes: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: _window_key(hashes, i, n)))
+
+
 def contained(passages: DataFrame, texts: DataFrame, words: int = 8) -> DataFrame:
     """(passage_id, text_id, at) where the passage (id, text) stands in the text (id, text), case and blanks included.
 
@@ -36,7 +46,8 @@ def contained(passages: DataFrame, texts: DataFrame, words: int = 8) -> DataFram
     inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
     p = passages.select(F.col("id").alias("passage_id"), F.col("text").alias("passage")).where("passage <> ''")
     p = p.withColumn("w", F.filter(F.split("passage", blank), lambda x: x != "")).withColumn("inner", F.slice(inner, 1, words))
-    p = p.withColumn("size", F.size("inner")).withColumn("key", F.xxhash64(F.array_join("inner", " ")))
+    hashed = lambda ws: F.transform(ws, lambda x: F.xxhash64(x))
+    p = p.withColumn("size", F.size("inner")).withColumn("key", T.let(hashed(F.col("inner")), lambda h: _window_key(h, F.lit(0), words)))
     keys = p.select("passage_id", "passage", "size", "key")
     sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # at most words + 1 numbers
     t = texts.select(F.col("id").alias("text_id"), F.col("text").alias("whole")).withColumn("w", F.filter(F.split("whole", blank), lambda x: x != ""))
@@ -47,8 +58,7 @@ def contained(passages: DataFrame, texts: DataFrame, words: int = 8) -> DataFram
             # One or two words: nothing is sure to stand between blanks.
             met = t.select("text_id", "whole").join(some, F.col("whole").contains(F.col("passage")))
         else:
-            windows = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))
-            cut = t.where(F.size("w") >= n).select("text_id", F.explode(F.array_distinct(windows)).alias("key"))
+            cut = t.where(F.size("w") >= n).select("text_id", F.explode(T.let(hashed(F.col("w")), _window_keys(n))).alias("key"))
             met = cut.join(some, "key").join(t.select("text_id", "whole"), "text_id")
         part = met.withColumn("at", F.instr("whole", F.col("passage"))).where("at > 0").select("passage_id", "text_id", "at")
         out = part if out is None else out.unionByName(part)

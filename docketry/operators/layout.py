@@ -18,6 +18,7 @@ LEADER = "(?:\\.{4,}|…{2,}|(?:\\.\\s){4,})\\s*\\.*\\s*\\d{0,4}\\s*$"
 CONTENTS_HEADING = "(?i)^(?:INDEX|CONTENTS|TABLE OF CONTENTS)$"
 ABBREVIATION_END = "(?:\\b[A-Z]|\\b(?:Dr|Mr|Mrs|Ms|Messrs|No|Nos|Sh|Smt|Shri|St|vs?|viz|i\\.e|e\\.g))\\.$"
 NUMBERED = "^\\d{1,3}(?:\\.\\d{1,3})*\\.\\s"
+EDGE_PUNCTUATION = ".,;:!?\"'“”‘’()[]{}*"
 GAP = 3  # blanks that part the segments of a line
 EDGE_TOP, EDGE_BOTTOM = 2, 3  # content lines of a page where running lines stand
 RUNNING_PAGES, RUNNING_SHARE = 3, 0.3
@@ -182,8 +183,8 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.col("raw"), "\\s+"), lambda w: w != "")
     whole = F.when(F.element_at(words, -1).endswith("-"), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
     rows = lines.withColumn("w", words).where(F.size("w") > 0).select("doc_id", F.explode(whole).alias("token"))
-    edge = "[.,;:!?\"'“”‘’()\\[\\]{}*]+"
-    return rows.select("doc_id", F.lower(F.regexp_replace("token", f"^{edge}|{edge}$", "")).alias("word")).where("word <> ''").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    word = F.lower(F.btrim(F.col("token"), F.lit(EDGE_PUNCTUATION)))
+    return rows.select("doc_id", word.alias("word")).where("word <> ''").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def next_content(lines: DataFrame) -> DataFrame:
