@@ -2,8 +2,10 @@
 
 Vectors of one label are neighbours to be. Every vector begins with a few neighbours at random and from signed
 random projections; in each round, neighbours of neighbours (both ways) meet in the lists' joins and the best stay.
-Lists that end up full of links are enlarged: the linked component they lie in is compared block by block, exactly,
-so a vector may have any number of links. Recall is audited against exact neighbours of a stated share of vectors.
+Equal vectors are one from the start and count as often as they occur. Lists that end up full of links are enlarged:
+vectors with full lists are compared exactly across components wherever a link is possible, and then the components
+they lie in block by block, so a vector may have any number of links. Recall is audited against exact neighbours of a
+stated share of vectors; if it stays too low, all vectors of a label are compared.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ TABLES = 5  # of signed random projections for the first lists
 BUCKET = 512  # vectors that a bucket of the first lists is meant to hold
 CHUNK = 1024  # vectors on either side of a block, and in a bucket at most
 AUDIT = 256  # vectors whose links are found exactly, over all rows, to measure recall
-ENOUGH = 0.98  # recall under which more tables and rounds follow
+ENOUGH = 0.98  # recall under which more tables and rounds follow, and after them the exact comparison
 ATTEMPTS = 3
 NEAR = 1e-3  # lists keep single-precision cosines; pairs so near the threshold are computed again
 
@@ -165,29 +167,120 @@ def exact_links(vectors: DataFrame, edges: DataFrame, least: float) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
+def squares(rows: DataFrame, by: str) -> DataFrame:
+    """Each row once on side 0 and once on side 1 of every block (i, j) of its group that it is compared in.
+
+    A group is dealt into chunks of about CHUNK rows by the ids' hash, so a block has about that many on either side.
+    """
+    sizes = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    every = lambda i, j, side: F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct((c if i is None else i).alias("i"), (c if j is None else j).alias("j"), F.lit(side).alias("side")))
+    dealt = rows.withColumn("at", F.explode(F.concat(every(F.col("chunk"), None, 0), every(None, F.col("chunk"), 1))))
+    return dealt.select("*", "at.i", "at.j", "at.side").drop("at", "chunk", "chunks")
+
+
 def enlarged(vectors: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """(id, n_links): links of every member within its component, counted block by block.
 
-    members: (id, component) of the components to look through. A block compares at most about CHUNK by CHUNK
-    vectors and gives sums only, so a component of any size is counted with bounded memory.
+    members: (id, component) of the components to look through. A vector counts as often as it occurs (column w). A
+    block compares at most about CHUNK by CHUNK vectors and gives sums only, so a component of any size is counted
+    with bounded memory.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    rows = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(vectors.select("id", "v"), "id")
-    every = lambda i, j, side: F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct((c if i is None else i).alias("i"), (c if j is None else j).alias("j"), F.lit(side).alias("side")))
-    blocks = rows.withColumn("at", F.explode(F.concat(every(F.col("chunk"), None, 0), every(None, F.col("chunk"), 1)))).select("component", "at.i", "at.j", "at.side", "id", "v")
+    blocks = squares(members.join(vectors.select("id", "v", "w"), "id"), "component")
 
     def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        side, ids, w = (table.column(c).to_numpy() for c in ("side", "id", "w"))
         x = matrix(table.column("v"))
         own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         for at in range(0, len(own), 256):
             o = own[at : at + 256]
-            links = ((x[o] @ x[other].T >= least) & (ids[o][:, None] != ids[other][None, :])).sum(1)
+            links = ((x[o] @ x[other].T >= least) & (ids[o][:, None] != ids[other][None, :])) @ w[other]
             yield batch_of([("id", pa.int64()), ("n_links", pa.int64())], ids[o], links)
 
     return map_groups(blocks, ["component", "i", "j"], count, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
+def bridges(vectors: DataFrame, full: DataFrame, least: float) -> DataFrame:
+    """(a, b): components that a link between two vectors with full lists joins.
+
+    full: (id, component) of the vectors whose lists hold nothing but links. Only two of them can have a link that is
+    in neither list. They lie in units of one component and about CHUNK vectors; a unit has a centre and a radius (an
+    angle), and two units whose centres are further apart than both radii and the threshold's angle have no link.
+    All other pairs of units are compared, exactly.
+    """
+    sizes = full.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    rows = full.join(sizes, "component").join(vectors.select("id", "label", "v"), "id")
+    rows = rows.withColumn("unit", F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("chunks"))))
+    rows = stored(rows.select("label", "component", "unit", "id", "v"), "full")
+
+    def ball(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = matrix(table.column("v"))
+        mean = x.sum(0)
+        size = np.sqrt(mean @ mean)
+        centre = mean / size if size > 1e-6 else x[0]
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        first = [table.column(c)[0].as_py() for c in ("label", "component", "unit")]
+        yield pa.RecordBatch.from_arrays([pa.array([first[0]]), pa.array(first[1:2], pa.int64()), pa.array(first[2:], pa.int64()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius])], ["label", "component", "id", "v", "radius"])
+
+    balls = map_groups(rows, ["label", "component", "unit"], ball, "label string, component long, id long, v array<double>, radius double")
+    reach = float(np.arccos(least)) + 1e-6  # rounding must not part units that touch
+
+    def near(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, ids, component, radius = (table.column(c).to_numpy() for c in ("side", "id", "component", "radius"))
+        x = matrix(table.column("v"))
+        own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for at in range(0, len(own), 256):
+            o = own[at : at + 256]
+            angle = np.arccos(np.clip(x[o] @ x[other].T, -1, 1))
+            touch = (angle <= radius[o][:, None] + radius[other][None, :] + reach) & (component[o][:, None] < component[other][None, :])
+            a, b = np.nonzero(touch)
+            yield batch_of([("a", pa.int64()), ("b", pa.int64())], ids[o][a], ids[other][b])
+
+    pairs = stored(map_groups(squares(stored(balls, "balls"), "label"), ["label", "i", "j"], near, "a long, b long"), "touching")
+    side = lambda c, n: pairs.join(rows.withColumnRenamed("unit", c), c).select("a", "b", F.lit(n).alias("side"), "component", "v")
+
+    def meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, component = table.column("side").to_numpy(), table.column("component").to_numpy()
+        x = matrix(table.column("v"))
+        own, other = x[side == 0], x[side == 1]
+        if any((own[at : at + 256] @ other.T >= least).any() for at in range(0, len(own), 256)):
+            yield batch_of([("a", pa.int64()), ("b", pa.int64())], component[side == 0][:1], component[side == 1][:1])
+
+    return map_groups(side("a", 0).unionByName(side("b", 1)), ["a", "b"], meet, "a long, b long").distinct()
+
+
+def joined(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """linked (id, component), with the components that the pairs of `more` (a, b) join made one."""
+    if more.isEmpty():
+        return linked
+    to = components(more).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return linked.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+
+
+def all_links(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join what all links join, found by comparing all vectors of a label block by block.
+
+    Of a block's links only a forest leaves it, so a block gives fewer rows than it has vectors.
+    """
+
+    def forest(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        x = matrix(table.column("v"))
+        own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        link = np.concatenate([x[own[at : at + 256]] @ x[other].T >= least for at in range(0, max(1, len(own)), 256)])
+        low = ids[own]
+        while True:  # both sides take the smallest id that they reach, until nothing changes
+            right = np.minimum(ids[other], np.where(link, low[:, None], ids.max()).min(0, initial=ids.max()))
+            left = np.minimum(low, np.where(link, right[None, :], ids.max()).min(1, initial=ids.max()))
+            if (left == low).all():
+                break
+            low = left
+        a, b = np.concatenate([ids[own], ids[other]]), np.concatenate([low, right])
+        yield batch_of([("a", pa.int64()), ("b", pa.int64())], a[a != b], b[a != b])
+
+    return map_groups(squares(vectors.select("label", "id", "v"), "label"), ["label", "i", "j"], forest, "a long, b long").distinct()
+
+
 def audit(vectors: DataFrame, found: DataFrame, least: float, sample: int = AUDIT) -> tuple[int, int]:
     """Links that a few vectors have, compared exactly with all rows, and how many of them `found` counts.
 
@@ -232,24 +325,42 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     that repeat an id count as one vector, the first in order of its components; other columns are ignored; an
     empty table gives no rows.
     """
-    vectors = usable(table, id_col, vector_col, label_col)
-    vectors = stored(vectors.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v"), "vectors")
+    every = usable(table, id_col, vector_col, label_col)
+    every = stored(every.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v"), "vectors")
+    vectors = stored(every.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "distinct")
+    copies = vectors.where("w > 1").select("label", "v", F.col("id").alias("first"))
+    members = stored(every.join(copies, ["label", "v"], "left").select(F.coalesce("first", "id").alias("first"), "id"), "members")
+
+    def found_of(linked: DataFrame, n_links: DataFrame) -> DataFrame:
+        own = vectors.select("id", "w").join(linked, "id", "left").join(n_links, "id", "left")
+        own = own.select(F.col("id").alias("first"), F.coalesce("component", "id").alias("component"), (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+        return stored(members.join(own, "first").select("id", "component", "n_links"), "found")
+
     edges, recall = None, 1.0
     for attempt in range(ATTEMPTS):
         start = first_lists(vectors, 17 + attempt, k)
         edges = descend(vectors, start if edges is None else start.unionByName(edges.select("a", "b", "sim")), k)
         links = stored(exact_links(vectors, edges, least), "exact")
         linked = stored(components(links), "linked").select(F.col("node").alias("id"), "component")
-        saturated = edges.groupBy("a").agg(F.count_if(F.col("sim") >= least - NEAR).alias("c")).where(F.col("c") >= k).select(F.col("a").alias("id"))
+        saturated = stored(edges.groupBy("a").agg(F.count_if(F.col("sim") >= least - NEAR).alias("c")).where(F.col("c") >= k).select(F.col("a").alias("id")), "saturated")
+        if not saturated.isEmpty():
+            own = vectors.select("id").join(saturated, "id", "left_semi").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+            more = stored(bridges(vectors, own, least), "bridges")
+            linked = stored(joined(linked.unionByName(own).distinct(), more), "joined")
         large = linked.join(saturated, "id", "left_semi").select("component").distinct()
         counted = enlarged(vectors, linked.join(large, "component", "left_semi"), least)
-        ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
-        plain = ends.groupBy("id").agg(F.count(F.lit(1)).alias("few"))
-        found = stored(linked.join(plain, "id", "left").join(counted, "id", "left").select("id", "component", F.coalesce("n_links", "few").alias("n_links")), "found")
-        there, got = audit(vectors, found.select("id", "n_links"), least)
+        ends = links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionAll(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
+        plain = ends.join(vectors.select(F.col("id").alias("to"), "w"), "to").groupBy("id").agg(F.sum("w").alias("few"))
+        found = found_of(linked, plain.join(counted, "id", "full").select("id", F.coalesce("n_links", "few").alias("n_links")))
+        there, got = audit(every, found.select("id", "n_links"), least)
         recall = got / there if there else 1.0
         if recall >= ENOUGH:
             break
+    else:
+        linked = stored(components(all_links(vectors, least)), "linked").select(F.col("node").alias("id"), "component")
+        found = found_of(linked, enlarged(vectors, linked, least))
+        there, got = audit(every, found.select("id", "n_links"), least)
+        recall = got / there if there else 1.0
     rows = table.select(F.col(id_col).cast("long").alias("id"))
     out = rows.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))

@@ -95,6 +95,43 @@ def test_embedding_links_equal_brute_force(spark):
     assert all(got[i].component_id == part[i] for i in range(len(x)))
 
 
+def linked_groups(groups, copies, angle, noise, seed=5):
+    """Unit vectors of `groups` pairs of dense groups: the two of a pair lie `angle` apart (cosine)."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        a = rng.normal(size=32)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=32)
+        b -= (b @ a) * a
+        b = angle * a + np.sqrt(1 - angle * angle) * b / np.linalg.norm(b)
+        out += [c + rng.normal(scale=noise, size=32) for c in [a] * copies + [b] * copies]
+    return np.array(out)
+
+
+def brute_links(x, least=0.93):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= least) & ~np.eye(len(x), dtype=bool)
+    part = np.arange(len(x))
+    for _ in range(len(x)):
+        part = np.minimum(part, np.where(link, part[None, :], len(x)).min(1))
+    return link.sum(1).tolist(), part.tolist()
+
+
+@pytest.mark.parametrize(("noise", "enough"), [(0.0, 0.98), (1e-4, 0.98), (1e-4, 2.0)])
+def test_links_between_groups_that_fill_each_others_lists(spark, monkeypatch, noise, enough):
+    """20 copies of A and 20 of B, exact or nearly so, with cos(A, B) = 0.95; the last case only passes by the exact way."""
+    from docketry.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "ENOUGH", enough)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    x = linked_groups(6, 20, 0.95, noise)
+    rows = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept, r.audit_recall) for r in embedding_dedup.near_duplicates(rows).collect())
+    want = [(i, n, c, i == c, 1.0) for i, (n, c) in enumerate(zip(*brute_links(x), strict=True))]
+    assert got == want and {n for _, n, *_ in want} == {39}
+
+
 def test_classifiers_on_held_out_rows(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
     for query, column, least in ((queries.op7_toxicity, "toxic", 0.9), (queries.op9_quality, "quality", 0.9)):
