@@ -18,22 +18,32 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.groupBy(F.sha2(F.col(text_col), 256).alias("sha")).agg(F.count(F.lit(1)).alias("n_copies"), F.min(id_col).alias("first_id")).where("n_copies > 1")
 
 
-def line_overlap(docs: DataFrame, least_lines: int = 2, most_docs: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Documents that a part of one line's documents is meant to hold where pairs are made.
+PART = 1000
+
+
+def line_overlap(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, shared, similarity): documents that share lines, by the multiset of their lines.
 
-    Lines that more than most_docs documents have say nothing about copies and make no pairs, but they count in the
-    similarity of pairs that other lines make: 2 * shared / (lines of a + lines of b).
+    The similarity is 2 * shared / (lines of a + lines of b). Documents with equal lines are one class, whose first
+    stands for all in the comparison; a line of many documents is dealt into parts, so no task makes all its pairs.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(text_col, "\n")).alias("line")).where("line <> ''").groupBy("id", "line").agg(F.count(F.lit(1)).alias("n"))
-    totals = lines.groupBy("id").agg(F.sum("n").alias("total"))
-    telling = lines.groupBy("line").agg(F.count(F.lit(1)).alias("in_docs")).where((F.col("in_docs") > 1) & (F.col("in_docs") <= most_docs)).select("line")
-    some = lines.join(telling, "line")
-    pairs = some.alias("x").join(some.alias("y"), (F.col("x.line") == F.col("y.line")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    x = lines.select(F.col("id").alias("a"), "line", F.col("n").alias("n_a"))
-    y = lines.select(F.col("id").alias("b"), "line", F.col("n").alias("n_b"))
-    shared = pairs.join(x, "a").join(y, ["b", "line"]).groupBy("a", "b").agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
-    both = shared.join(totals.select(F.col("id").alias("a"), F.col("total").alias("t_a")), "a").join(totals.select(F.col("id").alias("b"), F.col("total").alias("t_b")), "b")
-    return both.where(F.col("shared") >= least_lines).select("a", "b", "shared", (2 * F.col("shared") / (F.col("t_a") + F.col("t_b"))).alias("similarity"))
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.filter(F.split(text_col, "\n"), lambda x: x != "").alias("lines"))
+    whole = lines.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines")).where(F.size("lines") > 0)
+    keyed = whole.withColumn("key", F.sha2(F.array_join("lines", "\n"), 256))
+    classes = keyed.groupBy("key").agg(F.min("id").alias("class"), F.first("lines").alias("lines"))
+    members = keyed.select("id", "key").join(classes.select("key", "class", F.size("lines").cast("long").alias("total")), "key").select("id", "class", "total")
+    counts = classes.select("class", F.explode("lines").alias("line")).groupBy("class", "line").agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.groupBy("line").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("line", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    some = counts.join(parts, "line")
+    x = some.select("line", F.col("class").alias("x"), F.col("n").alias("n_x"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
+    y = some.select("line", F.col("class").alias("y"), F.col("n").alias("n_y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    shared = x.join(y, ["line", "part"]).where("x < y").groupBy("x", "y").agg(F.sum(F.least("n_x", "n_y")).alias("shared")).where(F.col("shared") >= least_lines)
+    end = lambda c, i: members.select(F.col("class").alias(c), F.col("id").alias(i), F.col("total").alias(f"t_{i}"))
+    apart = shared.join(end("x", "i"), "x").join(end("y", "j"), "y").select("i", "j", "shared", "t_i", "t_j")
+    alike = end("x", "i").join(end("x", "j"), "x").where((F.col("i") < F.col("j")) & (F.col("t_i") >= least_lines)).select("i", "j", F.col("t_i").alias("shared"), "t_i", "t_j")
+    similarity = 2 * F.col("shared") / (F.col("t_i") + F.col("t_j"))
+    return apart.unionByName(alike).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", similarity.alias("similarity"))
 
 
 def mode_first(rows: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:

@@ -216,3 +216,22 @@ def test_stream_counts(spark, tmp_path):
     stream = documents.stream_tables(spark, str(tmp_path / "in"), "id long, at timestamp, k long")
     documents.run_once(documents.windowed_counts(stream, "at", ["k"], delay="0 seconds"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] >= 6
+
+
+def test_line_overlap_of_frequent_lines_equals_brute_force(spark, monkeypatch):
+    """130 documents share the same two lines, some of them whole; small parts deal the lines out."""
+    from collections import Counter
+
+    from docketry.operators import profiles
+
+    monkeypatch.setattr(profiles, "PART", 20)
+    texts = {i: "licence\nnotice\nnotice\n" + ("same" if i % 3 else f"own {i}") for i in range(130)} | {200: "licence", 201: "notice\n\nnotice", 202: None, 203: ""}
+    counts = {i: Counter(x for x in (t or "").split("\n") if x) for i, t in texts.items()}
+    want = set()
+    for a in texts:
+        for b in texts:
+            n = (counts[a] & counts[b]).total()
+            if a < b and n >= 2:
+                want.add((a, b, n, 2 * n / (counts[a].total() + counts[b].total())))
+    rows = profiles.line_overlap(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
