@@ -235,3 +235,15 @@ def test_line_overlap_of_frequent_lines_equals_brute_force(spark, monkeypatch):
                 want.add((a, b, n, 2 * n / (counts[a].total() + counts[b].total())))
     rows = profiles.line_overlap(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_citations_in_documents_finds_all_written_forms(spark, tmp_path):
+    from docketry.functions.citations import find_citations
+    from docketry.plans import catalog
+
+    texts = ["see [1950] S.C.R. 605.", "[1976] Supp. SCR 44", "1976 Supp. SCR 44", "J.T. 1990 (2) S.C. 5", "(1978) 1 SCC 248", "A.I.R. 1950 S.C. 27", "2024 INSC 5", "(1999) 2 scale 7", "no citation", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {r.doc_id: r.n for r in docs.select("doc_id", F.size(find_citations(F.col("text"))).alias("n")).collect() if (r.n or 0) > 0}
+    got = {r.doc_id: r.n_citations for r in catalog.citations_in_documents(spark, str(tmp_path)).collect()}
+    assert got == want == {i: 1 for i in range(8)}
