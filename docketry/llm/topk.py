@@ -28,7 +28,10 @@ CHUNK = 4096  # reference rows in a tree
 GROUP = 1024  # queries in a tree
 SHRINK = 1.6  # a child's radius is at most its parent's over this
 LEAF = 8  # nodes of so few points are not divided
-LARGEST = 1 << 20  # vectors with a scaled component of this size or more take no part: products stay exact in doubles
+LARGEST = 1 << 20  # under this size of scaled components products are exact in doubles, for vectors shorter than LONGEST
+LONGEST = 1 << 13
+WHOLE = 1 << 52  # doubles of this size or more are integers
+OFFSET = 10**700  # more than any product of doubles: makes ordered texts of large scores
 
 
 @dataclass
@@ -153,11 +156,50 @@ class DualSearch:
             self.scores[a:b], self.found[a:b] = scores[take], names[take]
 
 
+def integers(v: np.ndarray, raw: np.ndarray, scale: int) -> np.ndarray:
+    """Scaled components as Python integers; `raw` has the components whose scaled value is beyond doubles."""
+    return np.array([[int(c) if np.isfinite(c) else int(r) * scale for c, r in zip(x, y, strict=True)] for x, y in zip(v, raw, strict=True)], object)
+
+
+def wide_search(queries: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...], k: int, scale: int) -> Iterator[tuple[int, int, int]]:
+    """(query_id, row_id, score) of the k best rows of each query, for components of any size.
+
+    queries, rows: ids, scaled vectors and raw vectors. Doubles with a bound of their error tell which rows can be
+    among the best; those are compared in Python integers.
+    """
+    biggest = max(np.frexp(np.where(np.isfinite(v), v, 0))[1].max(initial=0) for _, v, _ in (queries, rows))
+    if any(not np.isfinite(v).all() for _, v, _ in (queries, rows)):
+        biggest = 1024 + scale.bit_length()
+    small = lambda v, raw: np.where(np.isfinite(v), np.ldexp(np.where(np.isfinite(v), v, 0), -biggest), np.ldexp(raw, -biggest) * scale)
+    p = small(rows[1], rows[2])
+    size, d = np.abs(p).max(1), p.shape[1]
+    exact: dict[int, np.ndarray] = {}
+    for i in range(len(queries[0])):
+        q = small(queries[1][i : i + 1], queries[2][i : i + 1])[0]
+        others = np.flatnonzero(rows[0] != queries[0][i])
+        near = p[others] @ q
+        slack = (d + 8) * d * 2.0**-52 * np.abs(q).max() * size[others] + 1e-290
+        if len(others) > k:
+            low = near - slack
+            others = others[near + slack >= np.partition(low, len(low) - k)[-k]]
+        mine = integers(queries[1][i : i + 1], queries[2][i : i + 1], scale)[0]
+        for j in others:
+            if j not in exact:
+                exact[j] = integers(rows[1][j : j + 1], rows[2][j : j + 1], scale)[0]
+        best = sorted((-int(mine @ exact[j]), int(rows[0][j])) for j in others)[:k]
+        yield from ((int(queries[0][i]), name, -score) for score, name in best)
+
+
 def scaled(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v) of the vectors that take part: v holds floor(scale * x) as doubles."""
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    rows = rows.select("id", F.transform("v", lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x * scale) >= LARGEST), F.lit(None)).otherwise(F.floor(x * scale).cast("double"))).alias("v"))
-    return rows.where(F.forall("v", lambda x: x.isNotNull()) & (F.size("v") > 0))
+    """(id, v, raw) of the vectors that take part: v holds floor(scale * x) as doubles.
+
+    raw is x itself where a scaled component is beyond doubles, else null.
+    """
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where("id is not null and x is not null")
+    rows = rows.where(F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.size("x") > 0))
+    v = F.transform("x", lambda x: F.when(F.abs(x * scale) >= WHOLE, x * scale).otherwise(F.floor(x * scale).cast("double")))
+    beyond = F.exists("x", lambda x: F.abs(x * scale) == F.lit(float("inf")))
+    return rows.select("id", v.alias("v"), F.when(beyond, F.col("x")).alias("raw"))
 
 
 def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, scale: int = SCALE) -> DataFrame:
@@ -166,17 +208,18 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     is_query: condition on the id column. Returns query_id, rank from 1, the id column, score; ties go to the
     smaller id; fewer than k rows where there are fewer. Rows with a query's id are its own and no candidates for
     it; where rows repeat an id, each is a candidate and the queries are one (the first by its components). Vectors
-    that are null, empty, or hold null, non-finite or huge components (|scale * x| of LARGEST or more) take no
-    part, nor do rows with a null id; only vectors of equal length are compared. Other columns are ignored; an
-    empty table gives no rows. A chunk holds about CHUNK rows and a group about GROUP queries whatever the input.
+    that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id; only
+    vectors of equal length are compared. Scores are exact for components of any size; one that a long cannot hold
+    is null, and its rank is right all the same. Other columns are ignored; an empty table gives no rows. A chunk
+    holds about CHUNK rows and a group about GROUP queries whatever the input.
     """
     rows = stored(scaled(table, id_col, vector_col, scale).withColumn("d", F.size("v")), "scaled")
-    asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id").groupBy("id").agg(F.min(F.struct("v", "d")).alias("r")).select("id", "r.v", "r.d")
+    asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id").groupBy("id").agg(F.min(F.struct("v", "d", "raw")).alias("r")).select("id", "r.v", "r.d", "r.raw")
     n, m = rows.count(), rows.withColumnRenamed("id", id_col).where(is_query).count()
     chunks, groups = max(1, -(-n // CHUNK)), max(1, -(-m // GROUP))
     number = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
-    left = rows.select("id", "v", "d", F.lit(1).alias("side"), number(chunks, 1).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    right = asked.select("id", "v", "d", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), number(groups, 2).alias("group"))
+    left = rows.select("id", "v", "raw", "d", F.lit(1).alias("side"), number(chunks, 1).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    right = asked.select("id", "v", "raw", "d", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), number(groups, 2).alias("group"))
 
     def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
@@ -184,14 +227,24 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
         flat = table.column("v").combine_chunks()
         x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(set(lengths)) == 1 else None
         assert x is not None  # the length is part of the group
-        queries = CoverTree.build(x[side == 0], ids[side == 0]) if (side == 0).any() else None
-        if queries is None or not (side == 1).any():
+        if not (side == 0).any() or not (side == 1).any():
             return
-        found = DualSearch(queries, CoverTree.build(x[side == 1], ids[side == 1]), k).run()
-        good = found.scores > -np.inf
-        columns = [np.repeat(queries.ids, k).reshape(-1, k)[good], found.found[good], found.scores[good].astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "row_id", "score"])
-
-    lists = map_groups(left.unionByName(right), ["chunk", "group", "d"], search, "query_id long, row_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
+        if (np.abs(x) >= LARGEST).any() or x.shape[1] >= LONGEST:
+            raw = np.array([v if r is None else r for v, r in zip(x, table.column("raw").to_pylist(), strict=True)], np.float64)
+            best = list(wide_search(*((ids[side == s], x[side == s], raw[side == s]) for s in (0, 1)), k, scale))
+            fits = [-(1 << 63) <= b[2] < 1 << 63 for b in best]
+            columns = [[b[0] for b in best], [b[1] for b in best], [b[2] if f else None for b, f in zip(best, fits, strict=True)]]
+            size = [0 if f else 1 if b[2] > 0 else -1 for b, f in zip(best, fits, strict=True)]
+            text = [None if f else str(OFFSET + b[2]).zfill(701) for b, f in zip(best, fits, strict=True)]
+        else:
+            queries = CoverTree.build(x[side == 0], ids[side == 0])
+            found = DualSearch(queries, CoverTree.build(x[side == 1], ids[side == 1]), k).run()
+            good = found.scores > -np.inf
+            columns = [np.repeat(queries.ids, k).reshape(-1, k)[good], found.found[good], found.scores[good].astype(np.int64)]
+            size, text = np.zeros(len(columns[0]), np.int32), [None] * len(columns[0])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(size, pa.int32()), pa.array(text, pa.string())], ["query_id", "row_id", "score", "size", "text"])
+
+    # size and text order the scores that a long cannot hold
+    lists = map_groups(left.unionByName(right), ["chunk", "group", "d"], search, "query_id long, row_id long, score long, size int, text string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("score"), F.desc("text"), "row_id"))
     return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("row_id").alias(id_col), "score")

@@ -196,3 +196,21 @@ def test_top_k(spark):
     assert [x[2] for x in q0] == [1, 2, 8, 10, 10] and q0[0][3] == 256 * 512
     assert {x[0] for x in out} == {0, 50}
     assert topk.top_k(rows.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    """Components of 4096 and more, scores beyond doubles' and longs' integers, and scaled values beyond doubles."""
+    import math
+
+    r = random.Random(8)
+    rows = [(i, [r.choice([1, -1]) * r.random() * 10.0 ** r.choice([0, 3, 5, 7] if i % 4 else [9, 20]) for _ in range(6)]) for i in range(120)]
+    rows += [(120, [1e306, -1.5, 2.0, 0.0, 0.0, 3.0]), (121, [-1e307, 1.0, 1.0, 1.0, 0.0, 0.0]), (150, [5000.0] * 6), (151, [5000.0] * 5 + [5000.00390625])]
+    ints = {i: [math.floor(x * 256) if math.isfinite(x * 256) else int(x) * 256 for x in v] for i, v in rows}
+    want = {}
+    for q in ints:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+            want |= {(q, n): (i, -s if -(1 << 63) <= -s < 1 << 63 else None) for n, (s, i) in enumerate(best, 1)}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.top_k(table, F.col("vec_id") % 50 == 0).collect()}
+    assert got == want and {q for q, _ in want} == {0, 50, 100, 150}
