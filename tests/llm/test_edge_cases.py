@@ -86,6 +86,39 @@ def test_packing_is_an_exact_round_trip(docs):
     assert packing.pack(docs.limit(0), byte_bpe_encoder(packing.Encoder)).count() == 0
 
 
+def test_packing_of_very_long_texts(spark):
+    """A million blanks, one long run of letters and several MB of prose: the ids of the library, piece by piece."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    texts = [" " * 1_000_000, "a" * 300_000, (prose(5, 3000) + "\n\n it's  9 ") * 200, "\n" * 9000 + "x" * 9000 + " end", None, "short"]
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert len(texts[2]) > 3 * packing.PART and len(want[2]) > 10 * packing.BUFFER
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), byte_bpe_encoder(packing.Encoder), with_ids=True).collect()
+    size = {}
+    for i, ids in enumerate(want):
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert np.array_equal(np.concatenate([r.ids for r in mine]), ids) and {r.doc_tokens for r in mine} == {len(ids)}
+        assert [r.start for r in mine] == [0, *np.cumsum([r.length for r in mine])[:-1].tolist()]
+    for r in rows:
+        assert r.offset + r.length <= 1024
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in size.values()) <= 0.03 * sum(size.values())
+
+
+def test_sentences_that_fit_are_not_cut():
+    import numpy as np
+
+    ending = np.array([False, True])
+    ids = np.zeros(5000, np.int64)
+    ids[[99, 900, 1500, 4200]] = 1
+    places, costs = packing.cut_places(ids, np.array([5000]), ending, 1024)
+    assert {100, 901, 1501, 4201, 5000} <= set(places.tolist())
+    inside = [p for p, c in zip(places, costs, strict=True) if c == packing.TOKEN_CUT]
+    assert inside and all(1501 < p < 4201 for p in inside)
+
+
 def test_windows_are_the_cheapest():
     import itertools
 
