@@ -134,11 +134,11 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with x as (
-  select vec_id, list_transform(embedding, lambda v: floor(256 * v::double)) as v from embeddings
+  select vec_id, list_transform(embedding, lambda v: floor(256 * v::double)::hugeint) as v from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, lambda v: v is null or not isfinite(v) or abs(256 * v::double) >= 1048576)) = 0
+    and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
   from x q join x c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5

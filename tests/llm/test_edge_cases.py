@@ -247,3 +247,38 @@ def test_top_k_of_large_components(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.top_k(table, F.col("vec_id") % 50 == 0).collect()}
     assert got == want and {q for q, _ in want} == {0, 50, 100, 150}
+
+
+def test_top_k_over_many_chunks(spark, monkeypatch):
+    """Clusters, copies of one vector as a third of all rows, several lengths: many chunks and groups, most of them pruned."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "CHUNK", 400)
+    monkeypatch.setattr(topk, "GROUP", 100)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 3
+    x = [centres[i % 12] + rng.normal(scale=0.05, size=8) if i % 3 else centres[0] for i in range(1500)]
+    x += [rng.normal(size=4) for _ in range(200)]
+    ints = [np.floor(np.asarray(v) * 256).astype(int) for v in x]
+    want = set()
+    for q in range(0, len(x), 50):
+        scores = sorted((-int(ints[q] @ v), i) for i, v in enumerate(ints) if i != q and len(v) == len(ints[q]))[:5]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)}
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table, F.col("vec_id") % 50 == 0).collect()}
+    assert got == want
+
+
+def test_dual_search_equals_brute_force_and_prunes():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 6)) * 900
+    x = np.floor(centres[rng.integers(0, 20, 3000)] + rng.normal(scale=30, size=(3000, 6)))
+    q = x[::60]
+    found = topk.DualSearch(topk.CoverTree.build(q, np.arange(0, 3000, 60), 4, 1), topk.CoverTree.build(x, np.arange(3000)), 5).run()
+    for i, ids, scores in zip(found.q.ids, found.found, found.scores, strict=True):
+        near = sorted((-int(x[i] @ x[j]), j) for j in range(3000) if j != i)[:5]
+        assert [(-int(s), j) for s, j in zip(scores, ids, strict=True)] == near
+    assert found.compared < 0.5 * len(q) * len(x)
