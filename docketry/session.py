@@ -39,20 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the folder that the cluster names in spark.checkpoint.dir and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Lineage ends there, and what reads the table several times plans and computes it once. A folder of our own is used
-    only where none is named, as in tests.
+    Where it is unset, a local session (as in tests) gets a folder of its own; on a cluster that is an error, as each
+    machine would have another folder.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="docketry-shared-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/docketry-{what}-{uuid.uuid4().hex[:12]}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Lineage ends there, and what reads the table several times plans and computes it once.
+    """
+    path = f"{shared_folder(df.sparkSession)}/docketry-{what}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
