@@ -1,43 +1,27 @@
-"""What the operators of this package share: shared storage, bounded samples, word ids."""
+"""What the operators of this package share: shared storage, bounded samples, marks of rows in files."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.session import settled as stored
+from docketry.session import shared_folder
+
 #: Words are runs of anything but these seven ASCII blanks.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="docketry-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/docketry-{what}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{shared_folder(spark)}/docketry-{what}-{uuid.uuid4().hex[:12]}"
 
 
 def delete(spark: SparkSession, *tables: DataFrame | str) -> None:
@@ -61,26 +45,71 @@ def crc_of_id(column: str | Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def bounded_sample(rows: DataFrame, classes: str, key: str, per_class: int, seed: str, most_classes: int = 200) -> DataFrame:
+def bounded_sample(rows: DataFrame, classes: str, key: str, per_class: int, seed: str) -> DataFrame:
     """About per_class rows of each class, chosen by a hash of the key, so the same rows at every run.
 
-    rows: only narrow columns (no texts). A class gives each row the chance per_class over its count; the most_classes
-    largest classes take part. So the sample is about per_class * most_classes rows at most, whatever the input.
+    rows: only narrow columns (no texts). A class gives each row the chance per_class over its count, so the sample
+    is about per_class rows for each class, whatever the input.
     """
     spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = rows.groupBy(classes).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), classes).limit(most_classes)
-    kept = rows.join(F.broadcast(counts), classes).withColumn("__u", spread).where(F.col("__u") * F.col("__n") < F.lit(float(per_class)) * 1.1)
+    counts = rows.groupBy(classes).agg(F.count(F.lit(1)).alias("__n"))
+    kept = rows.join(counts, classes).withColumn("__u", spread).where(F.col("__u") * F.col("__n") < F.lit(float(per_class)) * 1.1)
     return kept.drop("__u", "__n")
 
 
-#: So many ids (8 bytes each) may be broadcast; a larger table of ids is joined by shuffling.
-MOST_IDS = 500_000
+#: Bytes of marks that are broadcast at once. A block of 32,768 rows of a file takes MARK_BYTES.
+MOST_MARKS = 64 << 20
+MARK_BYTES = 4096
+
 
+def positioned(docs: DataFrame) -> DataFrame:
+    """docs with __file and __row, a row's place in its Parquet file.
 
-def having_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in the stored table `ids` (distinct, one column): broadcast if counted few, else shuffled."""
-    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    A frame that is more than a scan, a filter and a choice of columns is written to the shared folder first.
+    """
+    plan = docs._jdf.queryExecution().analyzed().toString().split("\n")
+    scan = all(line.strip(" :+-").split(" ")[0].split("(")[0] in {"Project", "Filter", "SubqueryAlias", "Relation", "View", ""} for line in plan if line.strip())
+    for frame in ([docs] if scan and "_metadata" not in docs.columns else []) + [None]:
+        frame = stored(docs, "docs") if frame is None else frame
+        try:
+            place = frame.metadataColumn("_metadata")
+            return frame.select("*", place.getField("file_path").alias("__file"), place.getField("row_index").alias("__row"))
+        except AnalysisException:
+            continue
+    raise ValueError("the rows have no places in files")
+
+
+def marks(places: DataFrame) -> DataFrame:
+    """(__file, __block, bits) for a table of places (__file, __row): one bit a row, whatever the ids and texts are."""
+    at = F.col("__row") + 1
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    return stored(places.groupBy("__file", F.bitmap_bucket_number(at).alias("__block")).agg(bits), "marks")
+
+
+def marked_rows(rows: DataFrame, marked: DataFrame, what: str, work=lambda df: df, most: int | None = None) -> DataFrame:  # noqa: ANN001
+    """work(rows whose place is marked), where the rows lie: only marks are broadcast, no row is shuffled.
+
+    rows: with __file and __row. Marks of more than `most` bytes are broadcast in slices, one after the other; a
+    slice is a part of the files, so each file is still read once, and the slices' rows are written to one folder.
+    """
+    most = MOST_MARKS if most is None else most
+    slices = -(-marked.count() * MARK_BYTES // most)
+    slices = slices if slices <= 1 else 2 * slices  # slices by hash are not quite even
+    at = F.col("__row") + 1
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+
+    def found(part: DataFrame, some: DataFrame) -> DataFrame:
+        joined = part.withColumn("__block", F.bitmap_bucket_number(at)).join(F.broadcast(some), ["__file", "__block"])
+        return work(joined.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns))
+
+    if slices <= 1:
+        return found(rows, marked)
+    spark = rows.sparkSession
+    path, slice_ = new_path(spark, what), F.pmod(F.xxhash64("__file"), F.lit(slices))
+    for s in range(slices):
+        found(rows.where(slice_ == s), marked.where(slice_ == s)).write.mode("append").parquet(path)
+    return spark.read.schema(found(rows, marked).schema).parquet(path)
 
 
 def map_groups(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:  # noqa: ANN001

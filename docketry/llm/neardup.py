@@ -1,18 +1,23 @@
 """Near duplicates by SetSketch: band registers, estimate jointly, verify on full shingle sets, join up.
 
 1. One pass over the texts gives each document's set size, the fingerprint of its shingle set and its registers.
-   Documents with one fingerprint are a class; from here on its smallest id stands for it.
+   Documents with one fingerprint are a class; from here on its smallest id stands for it. Sets so small that no
+   other set can be similar enough stay out of what follows.
 2. Classes with the same registers in a band meet in a bucket. Every member is compared with the bucket's head
    (a member chosen by hash, another one in each bucket), so no bucket is expanded into pairs.
 3. A pair whose likeliest similarity given both sketches is high enough is verified on the full sets; verified links
-   make components.
+   make components. Texts are read again for such pairs alone, and never shuffled: a bit for each row of a file tells
+   the scan which texts are wanted.
 4. Where members of a bucket are still in several components, those outside the largest one are compared with all
    members of other components: blocks of sketches against blocks of sketches, in which only likely pairs come
    out, each from the first band that it shares. They are verified too, and the components joined.
+5. A few documents are compared exactly with all others in the first pass; the share of their links that ended in
+   one component is the audited recall.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import having_ids, stored
+from docketry.llm.common import marked_rows, marks, positioned, stored
 from docketry.llm.graph import components
 from docketry.llm.setsketch import SHINGLE, Shingler, Sketcher, band_keys, fingerprint, likely
 
@@ -28,13 +33,44 @@ REGISTERS = 384
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band once in 20,000 times
 SLACK = 0.06  # a pair is verified if its estimate is at most so much too low: three deviations of the estimate
 CHUNK = 1024  # sketches on either side of a block
+AUDIT, AUDIT_BYTES = 512, 32_768  # audited documents, and the largest text that is audited
 
 
-def prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, fp, sketch); the last two are null for texts without words."""
+def audited_sets(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of the AUDIT documents (id, text) with the smallest hashes: sorted shingles, the set each is of, sizes.
+
+    At most AUDIT texts of AUDIT_BYTES are collected and broadcast, whatever the input.
+    """
+    some = docs.where((F.octet_length("text") <= AUDIT_BYTES) & F.col("id").isNotNull())
+    texts = [r.text for r in some.orderBy(F.xxhash64(F.lit("audit"), "id"), "id", "text").limit(AUDIT).select("text").collect()]
+    sets = [Shingler(size)(t) for t in texts]
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], np.array([len(s) for s in sets], np.int64)
+
+
+def audit_links(shingles: np.ndarray, audited: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Numbers k of the audited sets that are similar enough to this one; -1 - k for those that are the same."""
+    known, owner, sizes = audited
+    lo, hi = np.searchsorted(known, shingles, "left"), np.searchsorted(known, shingles, "right")
+    both = np.zeros(len(sizes), np.int64)
+    hit = hi > lo
+    for a, b in zip(lo[hit].tolist(), hi[hit].tolist(), strict=True):
+        both[owner[a:b]] += 1
+    union = sizes + len(shingles) - both
+    near = np.flatnonzero((both > 0) & (100 * both >= percent * union))
+    return np.where(both[near] == union[near], -1 - near, near)
+
+
+def prints(docs: DataFrame, size: int, percent: int, kind: str) -> DataFrame:
+    """(id, n, fp, sketch, audit, __file, __row) of positioned rows (id, text, __file, __row).
+
+    fp and sketch are null for texts without words; audit holds the numbers of the audited sets that it is linked to.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(audited_sets(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketcher = Shingler(size), Sketcher(REGISTERS)
+        shingler, sketcher, audited = Shingler(size), Sketcher(REGISTERS), shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -44,11 +80,13 @@ def prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([sketcher(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([audit_links(s, audited, percent).tolist() for s in sets], pa.list_(pa.int32())),
+                    batch.column(2),
+                    batch.column(3),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fp", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fp", "sketch", "audit", "__file", "__row"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, fp binary, sketch binary")
+    return docs.select("id", "text", "__file", "__row").mapInArrow(run, kind)
 
 
 def sketches_of(column: pa.Array) -> np.ndarray:
@@ -101,20 +139,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(rep, set) of the classes in `reps` (rep, fp): the texts are read again, and only theirs are kept."""
+def full_sets(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(rep, set) of the documents at `places` (__file, __row): the texts are read again where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sets = [shingler(t.as_py()) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "fp", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["rep", "set"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    found = having_ids(rows, reps.select("rep"), "rep").mapInArrow(run, "rep long, fp binary, set binary")
-    return found.join(reps, ["rep", "fp"], "left_semi").dropDuplicates(["rep"]).select("rep", "set")
+    work = lambda rows: rows.select("id", "text").mapInArrow(run, "rep long, set binary")
+    return stored(marked_rows(docs, marks(places), "sets", work), "sets")
 
 
 def cross_pairs(members: DataFrame, sketches: DataFrame, linked: DataFrame, least: float) -> DataFrame:
@@ -176,36 +212,68 @@ def cross_pairs(members: DataFrame, sketches: DataFrame, linked: DataFrame, leas
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """Components of documents whose sets of word shingles share percent / 100 of their union or more.
+def small(percent: int) -> int:
+    """Sets of up to so many shingles are similar enough to equal sets only."""
+    return -(-percent // (100 - percent)) - 1 if percent < 100 else sys.maxsize
 
-    Words are runs of anything but ASCII blanks, A-Z lowered; a text of fewer than `size` words is one shingle.
-    Returns per input row: the id column (as long), n_shingles, component_id (the smallest id reachable over links, the
-    row's own id included), kept (id = component_id). A null or empty text, or one of blanks, has no shingles and
-    links with nothing. A row with a null id links with nothing, has a null component_id and is kept. Rows that
-    repeat an id are linked by their texts. Other columns are ignored; an empty table gives no rows.
-    """
+
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, float | None]:
+    """Positioned rows (id, text, __file, __row); the same rows without text but with n, fp, component_id; recall."""
     least = percent / 100 - SLACK
-    printed = stored(prints(docs, id_col, text_col, size), "prints")
-    classes = printed.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes, "classes")
-    banded = bands(classes)
+    rows = positioned(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    printed = stored(prints(rows, size, percent, "id long, n long, fp binary, sketch binary, audit array<int>, __file string, __row long"), "prints")
+    classes = printed.where("n > 0 and id is not null").groupBy("fp").agg(F.min(F.struct("id", "__file", "__row")).alias("r"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.select("fp", F.col("r.id").alias("rep"), "r.__file", "r.__row", "n", "sketch", "copies"), "classes")
+    sketches = classes.where(F.col("n") > small(percent)).select("rep", "n", "sketch")
+    banded = bands(sketches)
     heads = banded.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
     members = stored(banded.join(heads, "key").select("key", "band", "rep", "head"), "members")
-    ids = stored(members.select("rep").distinct(), "ids")
-    sketches = stored(having_ids(classes.select("rep", "n", "sketch", "fp"), ids, "rep"), "sketches")
-    sets = stored(full_sets(docs, sketches.select("rep", "fp"), id_col, text_col, size), "sets")
-    sketches = sketches.drop("fp")
     first = members.where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    links = verified(likely_pairs(first, sketches, least), sets, percent)
-    linked = stored(components(links), "linked")
-    more = verified(cross_pairs(members.select("key", "band", "rep"), sketches, linked, least), sets, percent)
+    first = stored(likely_pairs(first, sketches, least), "likely")
+    ends = lambda pairs: pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
+    place = classes.select("rep", "__file", "__row")
+    sets = full_sets(rows, place.join(ends(first), "rep", "left_semi"), size)
+    linked = stored(components(verified(first, sets, percent)), "linked")
+    cross = stored(cross_pairs(members.select("key", "band", "rep"), sketches, linked, least), "cross")
+    more = place.join(ends(cross), "rep", "left_semi").join(sets.select("rep"), "rep", "left_anti")
+    more = verified(cross, sets.unionByName(full_sets(rows, more, size)), percent)
     joined = more.join(linked.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(linked.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     upper = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     whole = linked.unionAll(upper.select("node", F.col("node").alias("component"))).distinct()
     whole = whole.join(upper.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
     whole = whole.groupBy("node").agg(F.min(F.coalesce("top", "component")).alias("component"))
     placed = classes.select("fp", "rep", "copies").join(whole.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component <> rep").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = printed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp")).join(placed, "fp", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    keyed = printed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp"), "audit", "__file", "__row").join(placed, "fp", "left")
+    found = stored(keyed.withColumn("component_id", F.coalesce("component_id", "id")), "found")
+    near = found.where("id is not null").select(F.explode("audit").alias("k"), "component_id")
+    own = near.where("k < 0").groupBy((-1 - F.col("k")).alias("k")).agg(F.min("component_id").alias("own"))
+    there, got = near.where("k >= 0").join(own, "k").agg(F.count(F.lit(1)), F.count_if(F.col("component_id") == F.col("own"))).first()
+    return rows, found.drop("audit"), got / there if there else None
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
+    """Components of documents whose sets of word shingles share percent / 100 of their union or more.
+
+    Words are runs of anything but ASCII blanks, A-Z lowered; a text of fewer than `size` words is one shingle.
+    Returns per input row: the id column (as long), n_shingles, component_id (the smallest id reachable over links, the
+    row's own id included), kept (id = component_id) and audit_recall (share of the audited documents' links to
+    different texts that lie within one component; null if they have none). A null or empty text, or one of blanks,
+    has no shingles and links with nothing. A row with a null id links with nothing, has a null component_id and is
+    kept. Rows that repeat an id are linked by their texts. Other columns are ignored; an empty table gives no rows.
+    """
+    _, found, recall = linked_rows(docs, id_col, text_col, size, percent)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept, F.lit(recall).cast("double").alias("audit_recall"))
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80, most_marks: int | None = None) -> DataFrame:
+    """The rows of docs, whole, less all but the one with the smallest id of each component.
+
+    Rows without an id all stay; where rows repeat an id, one row of each set of shingles stays. No text is shuffled.
+    """
+    rows = positioned(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")))
+    field = lambda c, name: F.col("__doc").getField(c).alias(name)
+    _, found, _ = linked_rows(rows.select(field(id_col, "id"), field(text_col, "text")), "id", "text", size, percent)
+    once = found.where("id = component_id").groupBy("id", "fp").agg(F.min(F.struct("__file", "__row")).alias("r")).select("r.*")
+    kept = once.unionByName(found.where("id is null").select("__file", "__row"))
+    return marked_rows(rows, marks(kept), "kept", lambda r: r.select("__doc.*"), most_marks)

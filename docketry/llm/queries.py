@@ -113,7 +113,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.neardup import near_duplicates
 
     ship(spark)
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

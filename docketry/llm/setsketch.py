@@ -1,7 +1,7 @@
 """Word shingles of whole texts, and SetSketch registers of shingle sets.
 
-A register holds 1 - log_b of the smallest of exponentially distributed hashes of the set, rounded down and
-truncated to 16 bits. Registers of a union are the larger of the two sets' registers; equal registers are the
+A register holds OFFSET + 1 - log_b of the smallest of exponentially distributed hashes of the set, rounded down and
+truncated to 16 bits; the offset keeps the registers of the smallest sets above 0. Registers of a union are the larger of the two sets' registers; equal registers are the
 likelier the more two sets share. Given both sets' sizes, the numbers of registers where one, the other or neither
 is larger have a likelihood that is concave in the Jaccard similarity.
 """
@@ -15,8 +15,9 @@ import numpy as np
 import xxhash
 
 BASE = 1.001
+OFFSET = 4096  # a set of one shingle has a register of 0 once in e**60 times
 TOP = (1 << 16) - 1
-SHINGLE = 4  # words
+SHINGLE = 5  # words
 CACHED = 400_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -65,7 +66,7 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 
 class Sketcher:
-    """Registers from 32-bit multiplicative hashes of the shingles' upper halves."""
+    """Registers from 32-bit hashes of the shingles' upper halves: multiplied by the register's odd number, then mixed."""
 
     def __init__(self, registers: int, seed: int = 42) -> None:
         self.multipliers = np.random.default_rng(seed).integers(1, 1 << 32, registers, dtype=np.uint32) | np.uint32(1)
@@ -73,10 +74,13 @@ class Sketcher:
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         low = np.full(len(self.multipliers), (1 << 32) - 1, np.uint32)
         halves = (shingles >> np.uint64(32)).astype(np.uint32)
-        for at in range(0, len(halves), 512):
-            np.minimum(low, np.multiply.outer(self.multipliers, halves[at : at + 512]).min(1), out=low)
+        for at in range(0, len(halves), 256):
+            x = np.multiply.outer(self.multipliers, halves[at : at + 256])
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            np.minimum(low, x.min(1), out=low)
         x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32)
-        return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, TOP).astype(np.uint16)
+        return np.clip(np.floor(OFFSET + 1 - np.log(x) / math.log(BASE)), 0, TOP).astype(np.uint16)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import mixing, neardup, packing, quality, toxicity
-from docketry.llm.common import crc_of_id, having_ids, stored
+from docketry.llm.common import crc_of_id
 from docketry.llm.queries import byte_bpe_encoder, mix_levels
 from docketry.session import ship, table
 
@@ -34,16 +34,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. Documents without an id all stay.
+    """One document of each component (word shingles of five): the one with the smallest id.
 
-    Where rows repeat an id, one row of each of its texts stays.
+    Documents without an id all stay; where rows repeat an id, one row of each of its texts stays. Null and empty
+    texts link with nothing.
     """
     ship(spark)
-    found = neardup.near_duplicates(docs)
-    kept = stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    once = having_ids(docs, kept.where("rows = 1").select("doc_id"), "doc_id")
-    again = having_ids(docs, kept.where("rows > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
-    return once.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(docs.where("doc_id is null"))
+    return neardup.without_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,16 +18,16 @@ def test_query_equals_sql(spark, name):
     compare(spark, queries.queries()[name], queries.oracle_sql()[name])
 
 
-def shingles(text):
+def shingles(text, size=4):
     words = (text or "").encode().lower().split()
     if not words:
         return frozenset()
-    return frozenset([tuple(words)] if len(words) < 4 else zip(*(words[i:] for i in range(4)), strict=False))
+    return frozenset([tuple(words)] if len(words) < size else zip(*(words[i:] for i in range(size)), strict=False))
 
 
-def brute_components(rows, least=80):
+def brute_components(rows, least=80, size=4):
     """(size, smallest reachable id) by comparing all documents that share a shingle."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, size) for i, t in rows}
     where = defaultdict(list)
     parent = {i: i for i in sets}
 
@@ -60,8 +60,45 @@ def test_chains_of_near_copies_are_one_component(spark):
     texts = [" ".join(words[i * 8 : i * 8 + 100]) for i in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute_components(list(enumerate(texts)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()}
-    assert got == want and {c for _, c in want.values()} == {0}
+    rows = neardup.near_duplicates(docs, size=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want and {c for _, c in want.values()} == {0}
+    assert {r.audit_recall for r in rows} == {1.0}
+
+
+def test_duplicates_go_where_the_rows_lie(spark, tmp_path):
+    """The same rows stay whether the marks are broadcast at once or, past their limit, in slices of the files."""
+    from docketry.llm import common, neardup
+
+    spark.read.parquet(f"{DATA}/documents.parquet").repartition(7).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {i for i, (_, c) in brute_components(rows, size=5).items() if i == c}
+    at_once, in_slices = neardup.without_duplicates(docs), neardup.without_duplicates(docs, most_marks=2 * common.MARK_BYTES)
+    assert "SortMergeJoin" not in at_once._jdf.queryExecution().toString()
+    for kept in (at_once, in_slices, neardup.without_duplicates(docs.repartition(3))):
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    assert len(in_slices.inputFiles()) > 1
+
+
+def test_marks_are_rows_of_files(spark, tmp_path):
+    """Blocks of 32,768 rows, several files, filters pushed into the scan."""
+    from docketry.llm import common
+
+    spark.range(100_000).selectExpr("id", "id % 7 as m", "'x' as text").repartition(2).write.parquet(str(tmp_path / "r"))
+    rows = common.positioned(spark.read.parquet(str(tmp_path / "r")).where("m <> 3"))
+    marked = common.marks(rows.where("id % 5 = 1").select("__file", "__row"))
+    want = sorted(i for i in range(100_000) if i % 7 != 3 and i % 5 == 1)
+    for most in (None, common.MARK_BYTES):
+        assert sorted(r.id for r in common.marked_rows(rows, marked, "t", most=most).collect()) == want
+
+
+def test_sets_that_link_to_equal_sets_only():
+    from docketry.llm import neardup
+
+    assert [neardup.small(p) for p in (50, 80, 90)] == [0, 3, 8] and neardup.small(100) > 1 << 60
+    for p in (70, 80, 95):
+        n = neardup.small(p)
+        assert 100 * n < p * (n + 1) and 100 * (n + 1) >= p * (n + 2)
 
 
 def test_estimates_follow_similarity():
@@ -199,7 +236,7 @@ def test_pipeline_stages(spark):
             scores = {r.doc_id: r.score for r in quality.score(before, model).collect()}
             assert {r.doc_id for r in docs.collect()} == {i for i, s in scores.items() if s >= quality.THRESHOLD}
         if name == "MinHash near-dedup":
-            want = brute_components([(r.doc_id, r.text) for r in before.collect()])
+            want = brute_components([(r.doc_id, r.text) for r in before.collect()], size=5)
             assert {r.doc_id for r in docs.collect()} == {i for i, (_, c) in want.items() if i == c}
             assert neardup.ROWS * neardup.BANDS <= neardup.REGISTERS
         if name == "mixing":
