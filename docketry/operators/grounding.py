@@ -5,12 +5,10 @@ Claims: claim_id, doc_id, section, text, paragraphs (array of ordinals). Paragra
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from docketry.functions import citations as C
 from docketry.functions import text as T
@@ -65,54 +63,51 @@ def contained(passages: DataFrame, texts: DataFrame, words: int = 8) -> DataFram
     return out.distinct() if out is not None else keys.select("passage_id", F.lit(None).alias("text_id"), F.lit(0).alias("at")).where("false")
 
 
-def _is_abbreviation(word: str) -> bool:
-    if not word.endswith("."):
-        return False
-    stem = word[:-1]
-    return stem.lower() in ABBREVIATIONS or all(len(p) == 1 and p.isalpha() for p in stem.split("."))
-
-
-def party(words: list[str], leftward: bool) -> str:
-    """The name that a walk over words away from the versus finds; words are given in the walk's order."""
-    name: list[str] = []
-    for raw in words:
-        bare = raw.strip(",;:()[]\"'")
-        named = bool(bare) and (bare[0].isupper() or bare.lower() in CONNECTORS)
-        clause_before = leftward and bool(name) and raw[-1] in ",;:"
-        if not named or clause_before or len(name) == PARTY_WORDS:
-            break
-        name.append(bare)
-        stops = raw[-1] in ",;:)" or (raw[-1] == "." and not _is_abbreviation(bare))
-        if stops and not leftward:
-            break
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, "^[,;:()\\[\\]\"']+|[,;:()\\[\\]\"']+$", "")
+
+
+def _abbreviated(word: Column) -> Column:
+    """Whether the full stop at a word's end belongs to it: initials, and the fixed abbreviations."""
+    return word.rlike(r"^(?:\p{L}\.)+$") | (F.endswith(word, F.lit(".")) & F.lower(F.rtrim(word, F.lit("."))).isin(sorted(ABBREVIATIONS)))
+
+
+def _first(flags: Column) -> Column:
+    """Place, from 0, of the first true flag; the array's size without one."""
+    return T.let(F.array_position(flags, F.lit(True)).cast("int"), lambda at: F.when(at > 0, at - 1).otherwise(F.size(flags)))
+
+
+def _run(words: Column, leftward: bool) -> Column:
+    """The words of a name in the order of reading, from words that go away from the versus."""
+    near = F.slice(words, 1, PARTY_WORDS)
+    inner = lambda w: ~T.let(_bare(w), lambda x: x.rlike(r"^\p{Lu}") | F.lower(x).isin(sorted(CONNECTORS)))
     if leftward:
-        name = name[::-1]
-        skip = next((i for i, w in enumerate(name) if w.lower() not in LEAD_WORDS), len(name))
-        name = name[skip:]
-    while name and name[-1].lower() in CONNECTORS:
-        del name[-1]
-    if name and name[-1].endswith(".") and not _is_abbreviation(name[-1]):
-        name[-1] = name[-1].rstrip(".") if name[-1].count(".") == 1 else name[-1][:-1]
-    return " ".join(name)
-
-
-def names_in(text: str) -> list[str]:
-    import re
-
-    out = []
-    for m in re.finditer(r"\s+(?:v|vs|versus)\.?\s+", text):
-        before, after = text[: m.start()].split(), text[m.end() :].split()
-        pair = party(before[::-1], True), party(after, False)
-        if all(pair):
-            out.append(" v. ".join(pair))
-    return out
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def case_names(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Names written as X v. Y."""
-    for part in texts:
-        yield part.map(lambda t: names_in(t) if t else [])
+        # A clause ends in front of the name.
+        size = _first(F.transform(near, lambda w, i: inner(w) | ((i > 0) & w.rlike("[,;:]$"))))
+        name = T.let(near, lambda ws: F.reverse(F.transform(F.slice(ws, 1, size), _bare)))
+        return T.let(name, lambda n: T.let(_first(F.transform(n, lambda w: ~F.lower(w).isin(sorted(LEAD_WORDS)))), lambda at: F.slice(n, at + 1, F.size(n))))
+    ends = F.transform(near, lambda w: w.rlike("[,;:)]$") | (F.endswith(w, F.lit(".")) & ~_abbreviated(_bare(w))))
+    size = F.least(_first(F.transform(near, inner)), _first(ends) + 1)
+    return F.transform(F.slice(near, 1, size), _bare)
+
+
+def party(words: Column, leftward: bool) -> Column:
+    """The party's name that words, in the order away from the versus, begin with; empty without one."""
+    named = lambda w: ~F.lower(w).isin(sorted(CONNECTORS))
+    cut = lambda n: F.slice(n, 1, F.size(n) - _first(F.transform(F.reverse(n), named)))
+    text = lambda n: F.array_join(n, " ")
+    last = lambda n: F.coalesce(F.get(n, F.size(n) - 1), F.lit(""))
+    stopped = lambda n: F.endswith(last(n), F.lit(".")) & ~_abbreviated(last(n))
+    return T.let(_run(words, leftward), lambda run: T.let(cut(run), lambda n: F.when(stopped(n), F.regexp_replace(text(n), r"\.$", "")).otherwise(text(n))))
+
+
+def case_names(text: Column) -> Column:
+    """Names written as X v. Y. Each part between two versus ends one name and begins the next."""
+    words = lambda t: F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+(?:v|vs|versus)\.?\s+"), words)
+    pairs = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), lambda a, b: F.struct(party(F.reverse(a), True).alias("a"), party(b, False).alias("b")))
+    both = lambda x: (x["a"] != "") & (x["b"] != "")
+    return T.let(parts, lambda p: F.transform(F.filter(pairs(p), both), lambda x: F.concat(x["a"], F.lit(" v. "), x["b"])))
 
 
 def check_claims(claims: DataFrame, paragraphs: DataFrame, subject: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:

@@ -197,6 +197,7 @@ def next_content(lines: DataFrame) -> DataFrame:
 
 # Report pages: running heads, margins; signed pages: stamps; archive pages: cut line tails
 
+# What running heads, printers' marks, margin letters and hanging numbers look like.
 REPORTS_HEAD = "S\\S{0,2}P\\S{1,6}\\W{0,3}[Cc]\\S{2,3}R[Tt]\\W{0,3}\\S{0,2}EP|Digital Supreme Court Reports"
 VOLUME_HEAD = "(?i)^[\\[(]\\s*\\S{4}\\s*[\\])jJ}]\\s+(?:SUPP\\.?\\s*)?\\S{1,3}\\s+S\\s*\\.\\s*C\\s*\\."
 PRINTER_MARK = "(?i)^\\d{1,3}\\s*[-—]\\s*\\d{1,3}\\s+S\\.?\\s*C\\.?\\s+India"
@@ -207,6 +208,9 @@ HEAD_PAGE = "^\\S{0,2}\\d{2,4}\\b|\\b\\d{2,4}\\S{0,2}$"
 MARGIN_LETTER = "^[^\\w\\s()]{0,2}[A-H0][^\\w\\s()]{0,2}$|^[^\\w\\s()]{1,2}$"
 HANGING_NUMBER = "^\\(?[1-9]\\d{0,2}(?:\\.\\d{1,3})*[.)]?$"
 
+# Words that stand by themselves however short they are.
+SHORT_WORDS = "a an and any are as at be but by can do for had has he her his if in is it its may no not now of on or our she so the to up was we who".split()
+
 
 def head_key(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), "[^a-z]", "")
@@ -297,15 +301,16 @@ def strip_stamps(lines: DataFrame) -> DataFrame:
 def merge_tails(lines: DataFrame) -> DataFrame:
     """Lines whose ends were cut off and printed at the start of the next line, put together again.
 
-    Only where a document's long lines are usually indented by four or more. A tail is a short line at the margin behind
-    an indented one; whether the cut fell inside a word is told by the document's own words.
+    Only where a document's long lines are usually indented by four or more. Tails are short lines at the margin behind
+    an indented one, one or several; whether the cut fell inside a word is told by the document's own words.
     """
     order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
     rows = lines.withColumns({"i": indent(F.col("raw")), "t": F.trim("raw")})
     usual = rows.where(F.length("t") > 40).groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_no", "line_no")).alias("at")).groupBy("doc_id").agg(F.min_by("i", F.struct(-F.col("n"), "at")).alias("usual"))
     rows = rows.join(usual, "doc_id", "left")
     short = (F.col("t") != "") & (F.col("i") <= 1) & (F.length("t") <= 12) & (F.size(F.split("t", "\\s+")) <= 2)
-    tail = (F.coalesce("usual", F.lit(0)) >= 4) & short & (F.coalesce(F.lag("i").over(order), F.lit(0)) >= 4) & (F.coalesce(F.lag("t").over(order), F.lit("")) != "")
+    longer = F.last(F.when(~short, F.struct("i", "t")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    tail = (F.coalesce("usual", F.lit(0)) >= 4) & short & F.coalesce((longer["i"] >= 4) & (longer["t"] != ""), F.lit(False))
     rows = rows.withColumn("tail", tail).withColumn("before", F.lag("raw").over(order))
     a = F.element_at(F.split(F.trim("before"), "\\s+"), -1)
     b = F.split("t", "\\s+")[0]
@@ -314,7 +319,7 @@ def merge_tails(lines: DataFrame) -> DataFrame:
     for name, key in (("n_joined", F.lower(F.concat("head", "end"))), ("n_head", F.lower("head")), ("n_end", F.lower("end"))):
         rows = rows.withColumn("word", key).join(words.withColumnRenamed("n", name), ["doc_id", "word"], "left").drop("word")
     digits = lambda c: F.col(c).rlike("^\\d+$")
-    few = F.lower("end").isin("a an and any are as at be but by can do for had has he her his if in is it its may no not now of on or our she so the to up was we who".split())
+    few = F.lower("end").isin(SHORT_WORDS)
     count = lambda c: F.coalesce(c, F.lit(0))
     glued = (
         F.when(F.col("cut_after_sign") | (F.col("head") == "") | (F.col("end") == ""), False)
@@ -324,5 +329,6 @@ def merge_tails(lines: DataFrame) -> DataFrame:
         .otherwise(~((count("n_head") > 1) & (count("n_end") > 1)))
     )
     rows = rows.withColumn("add", F.when(F.col("tail"), F.concat(F.when(glued, "").otherwise(" "), F.col("t"))))
-    nexts = F.lead("add").over(order)
-    return rows.withColumn("raw", F.concat("raw", F.coalesce(nexts, F.lit("")))).where(~F.col("tail")).select("doc_id", "page_no", "line_no", "raw")
+    rows = rows.withColumn("whole", F.count_if(~F.col("tail")).over(order))
+    nexts = F.collect_list("add").over(Window.partitionBy("doc_id", "whole").orderBy("page_no", "line_no").rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("raw", F.concat("raw", F.array_join(nexts, ""))).where(~F.col("tail")).select("doc_id", "page_no", "line_no", "raw")
