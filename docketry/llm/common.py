@@ -57,6 +57,16 @@ def bounded_sample(rows: DataFrame, classes: str, key: str, per_class: int, seed
     return kept.drop("__u", "__n")
 
 
+def few_rows(rows: DataFrame, most: int, key: str, seed: str) -> list:
+    """About `most` rows, collected: each has the chance most over the count, by a hash of its key (all, if fewer).
+
+    At most 2 * most + 100 rows come to the driver, whatever the input and however often a key repeats.
+    """
+    chance = most / max(1, rows.count())
+    spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(spread < F.lit(chance)).limit(2 * most + 100).collect()
+
+
 #: Bytes of marks that are broadcast at once. A block of 32,768 rows of a file takes MARK_BYTES.
 MOST_MARKS = 64 << 20
 MARK_BYTES = 4096

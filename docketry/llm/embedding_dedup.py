@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import map_groups, stored
+from docketry.llm.common import few_rows, map_groups, stored
 from docketry.llm.graph import components
 
 LEAST = 0.93
@@ -284,9 +284,9 @@ def all_links(vectors: DataFrame, least: float) -> DataFrame:
 def audit(vectors: DataFrame, found: DataFrame, least: float, sample: int = AUDIT) -> tuple[int, int]:
     """Links that a few vectors have, compared exactly with all rows, and how many of them `found` counts.
 
-    The sample is the `sample` vectors with the smallest hashes; it is collected, and broadcast, whatever the input.
+    The sample is about `sample` vectors chosen by a hash of their ids; it is collected and broadcast.
     """
-    asked = vectors.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(sample).collect()
+    asked = few_rows(vectors, sample, "id", "audit")
     if not asked:
         return 0, 0
     shared = vectors.sparkSession.sparkContext.broadcast([(r.id, r.label, [float(x) for x in r.v]) for r in asked])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import marked_rows, marks, positioned, stored
+from docketry.llm.common import few_rows, marked_rows, marks, positioned, stored
 from docketry.llm.graph import components
 from docketry.llm.setsketch import SHINGLE, Shingler, Sketcher, band_keys, fingerprint, likely
 
@@ -37,13 +37,12 @@ AUDIT, AUDIT_BYTES = 512, 32_768  # audited documents, and the largest text that
 
 
 def audited_sets(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets of the AUDIT documents (id, text) with the smallest hashes: sorted shingles, the set each is of, sizes.
+    """Sets of about AUDIT documents (id, text): sorted shingles, the set each is of, sizes.
 
-    At most AUDIT texts of AUDIT_BYTES are collected and broadcast, whatever the input.
+    About AUDIT texts of up to AUDIT_BYTES are collected and broadcast, whatever the input.
     """
-    some = docs.where((F.octet_length("text") <= AUDIT_BYTES) & F.col("id").isNotNull())
-    texts = [r.text for r in some.orderBy(F.xxhash64(F.lit("audit"), "id"), "id", "text").limit(AUDIT).select("text").collect()]
-    sets = [Shingler(size)(t) for t in texts]
+    some = few_rows(docs.where(F.col("id").isNotNull()).select("id", F.when(F.octet_length("text") <= AUDIT_BYTES, F.col("text")).alias("text")), AUDIT, "id", "audit")
+    sets = [Shingler(size)(r.text) for r in some]
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
     order = np.argsort(flat, kind="stable")
     return flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], np.array([len(s) for s in sets], np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import map_groups, stored
+from docketry.llm.common import few_rows, map_groups, stored
 
 SCALE = 256
 TOP = 5
@@ -229,12 +229,12 @@ def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
 def with_cells(rows: DataFrame, seed: str = "pivots") -> DataFrame:
     """Rows with `cell`, the number of their nearest pivot (0 without one of their length).
 
-    Pivots are the rows with the smallest hashes of their ids, one for each chunk and MOST_PIVOTS at most.
+    Pivots are rows chosen by a hash of their ids, about one for each chunk and MOST_PIVOTS.
     """
     size = rows.agg(F.sum("d")).first()[0] or 0
     most = max(1, min(MOST_PIVOTS, -(-size // CHUNK)))
     pivots: dict[int, list] = {}
-    for r in rows.where("wide = 0").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most).select("v").collect():
+    for r in few_rows(rows.where("wide = 0").select("id", "v"), most, "id", seed):
         pivots.setdefault(len(r.v), []).append(list(r.v))
     shared = rows.sparkSession.sparkContext.broadcast({d: np.array(p) for d, p in pivots.items()})
 

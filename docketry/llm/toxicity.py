@@ -2,8 +2,12 @@
 
 Terms are a text's lower-cased words and their beginnings of four and five letters, hashed to 32 bits. The score
 is sigmoid(b + sum w + pairwise interactions <v_i, v_j> of the terms present), so a pair of terms can count for
-more, or less, than its two weights. Terms whose share among toxic and clean training texts does not differ get
-no weight at all; a worker therefore remembers, for nearly every word, that it has nothing to add.
+more, or less, than its two weights, and two terms that tell nothing alone can tell all together.
+
+The machine takes two kinds of terms of the training texts. Of all terms, those whose share differs between the two
+classes. And of the most frequent terms, whether they tell anything alone or not, those of pairs: every pair is looked
+at, and one that goes with what the first kind leaves unexplained brings both its terms in. A worker remembers, for
+every word it met, which terms of the machine it has, and for nearly every word that is none.
 """
 
 from __future__ import annotations
@@ -18,17 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bounded_sample, crc_of_id
+from docketry.llm.common import bounded_sample, crc_of_id, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
 
 PER_CLASS = 4000  # training texts of each class
 RANK = 4  # size of the interaction vectors
-LEAST_DOCS = 4  # a weighted term is in so many training texts at least
-LEAST_Z = 5.0  # and its shares in the two classes lie so many standard errors apart
-MOST_TERMS = 50_000
-EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.03, 2e-5
+LEAST_DOCS = 4  # a term is in so many training texts at least
+LEAST_Z = 5.0  # so many standard errors a term's shares in the classes lie apart
+MOST_TERMS = 8192  # of these, the most telling
+PAIR_TERMS = 4096  # most frequent terms, whose pairs are looked at
+PAIR_Z = 7.0  # so many standard errors a pair's texts lie off; there are eight million pairs
+RATE, BATCH = 0.03, 128
+EPOCHS, DECAY, SPREAD = 60, 0.1, 0.02  # decay: over the number of training texts
+STEPS = 400  # small samples get more epochs, so that there are so many
 CACHED = 400_000  # words that a worker remembers
 THRESHOLD = 0.7
 
@@ -70,58 +78,57 @@ class FactorizationMachine:
         return sigmoid(self.bias + linear + both / 2)
 
 
-def select_terms(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Hashes whose share of the documents differs between the classes, sorted."""
-    if not docs:
-        return np.zeros(0, np.uint32)
-    terms, inverse = np.unique(np.concatenate(docs), return_inverse=True)
-    owner = np.repeat(labels, [len(d) for d in docs])
-    one = np.bincount(inverse, owner, len(terms))
-    every = np.bincount(inverse, minlength=len(terms))
-    n1, n0 = max(1, labels.sum()), max(1, len(labels) - labels.sum())
-    p = every / len(labels)
-    z = np.abs(one / n1 - (every - one) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    good = np.flatnonzero((every >= LEAST_DOCS) & (z >= LEAST_Z))
-    return np.sort(terms[good[np.argsort(-z[good], kind="stable")[:MOST_TERMS]]])
-
-
-def fit(docs: list[np.ndarray], labels: np.ndarray, rank: int = RANK, seed: int = 7) -> FactorizationMachine:
-    """Train on documents given as arrays of distinct term hashes; labels 0 or 1. Adam on the log loss."""
-    labels = np.asarray(labels, np.float64)
-    terms = select_terms(docs, labels)
-    rng = np.random.default_rng(seed)
+def descend(present: np.ndarray, labels: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, decay: float = DECAY, spread: float = SPREAD, seed: int = 7) -> tuple[float, np.ndarray]:
+    """Bias and parameters (weight, vector) of each term: Adam on the log loss, with decay.
+
+    present: documents x terms, 0 or 1. With S = present @ (w, V), the gradient of all terms is one product with
+    (error, error * S), less the error times the term's own vector.
+    """
+    rng, labels = np.random.default_rng(seed), labels.astype(np.float32)
     share = (labels.sum() + 1) / (len(labels) + 2)
-    model = FactorizationMachine(terms, float(np.log(share / (1 - share))), np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), rank)))
-    if not len(terms) or labels.min() == labels.max():
-        return model
-    parts = [np.searchsorted(terms, d[np.isin(d, terms)]) for d in docs]
-    params = [np.array([model.bias]), model.weights, model.vectors]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+    params = [np.log(np.full(1, share / (1 - share), np.float32)), np.concatenate([np.zeros((present.shape[1], 1)), rng.normal(0, spread, (present.shape[1], rank))], 1).astype(np.float32)]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(parts))
+    for _ in range(max(epochs, STEPS * BATCH // len(present))):
+        order = rng.permutation(len(present))
         for at in range(0, len(order), BATCH):
-            chosen = order[at : at + BATCH]
-            sizes = np.array([len(parts[i]) for i in chosen])
-            flat = np.concatenate([parts[i] for i in chosen]).astype(np.int64)
-            owner = np.repeat(np.arange(len(chosen)), sizes)
-            v = params[2][flat]
-            sums = np.stack([np.bincount(owner, v[:, k], len(chosen)) for k in range(rank)], 1)
-            squares = np.bincount(owner, (v * v).sum(1), len(chosen))
-            y = params[0][0] + np.bincount(owner, params[1][flat], len(chosen)) + ((sums**2).sum(1) - squares) / 2
-            error = (sigmoid(y) - labels[chosen]) / len(chosen)
-            grads = [np.array([error.sum()]), np.bincount(flat, error[owner], len(terms)) + DECAY * params[1], np.zeros_like(params[2])]
-            slope = error[owner, None] * (sums[owner] - v)
-            for k in range(rank):
-                grads[2][:, k] = np.bincount(flat, slope[:, k], len(terms))
-            grads[2] += DECAY * params[2]
+            x, y = present[order[at : at + BATCH]].astype(np.float32), labels[order[at : at + BATCH]]
+            sums = x @ params[1]
+            squares = x @ (params[1][:, 1:] ** 2).sum(1)
+            error = (sigmoid(params[0] + sums[:, 0] + ((sums[:, 1:] ** 2).sum(1) - squares) / 2) - y) / len(y)
+            sums[:, 0] = 1
+            slope = x.T @ (error[:, None] * sums)
+            slope[:, 1:] -= slope[:, :1] * params[1][:, 1:]
             step += 1
-            for p, g, (m, s) in zip(params, grads, moments, strict=True):
+            for p, g, (m, s) in zip(params, (error.sum(keepdims=True), slope + decay / len(present) * params[1]), moments, strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
-                p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    model.bias, model.weights, model.vectors = float(params[0][0]), params[1], params[2]
-    return model
+                p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-4)
+    return float(params[0][0]), params[1]
+
+
+def paired(present: np.ndarray, residuals: np.ndarray, least: float = PAIR_Z) -> np.ndarray:
+    """Columns that are in a pair whose texts' residuals sum to `least` standard errors or more."""
+    x, r = present.astype(np.float32), residuals.astype(np.float32)[:, None]
+    off = np.abs(x.T @ (r * x)) / np.sqrt(x.T @ (r * r * x) + 1)
+    np.fill_diagonal(off, 0)
+    return np.flatnonzero(off.max(1, initial=0) >= least)
+
+
+def fit(terms: np.ndarray, present: np.ndarray, labels: np.ndarray, telling: np.ndarray, frequent: np.ndarray) -> FactorizationMachine:
+    """Train on documents x terms (sorted hashes), 0 or 1; telling and frequent mark the columns of each kind."""
+    labels = np.asarray(labels)
+    share = (labels.sum() + 1) / (len(labels) + 2)
+    prior = float(np.log(share / (1 - share)))
+    if not len(terms) or not len(labels) or labels.min() == labels.max():
+        return FactorizationMachine(np.zeros(0, np.uint32), prior, np.zeros(0), np.zeros((0, RANK)))
+    single = np.flatnonzero(telling)
+    bias, params = descend(present[:, single], labels, rank=0) if len(single) else (prior, np.zeros((0, 1), np.float32))
+    residuals = labels - sigmoid(bias + present[:, single].astype(np.float32) @ params[:, 0])
+    often = np.flatnonzero(frequent)
+    chosen = np.union1d(single, often[paired(present[:, often], residuals)])
+    bias, params = descend(present[:, chosen], labels)
+    return FactorizationMachine(terms[chosen], bias, params[:, 0].astype(np.float64), params[:, 1:].astype(np.float64))
 
 
 class Scorer:
@@ -159,21 +166,44 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> FactorizationMachine:
-    """Fit on at most about per_class labelled texts of each class; their terms are hashed on the executors."""
+    """Fit on at most about per_class labelled texts of each class.
+
+    Terms are hashed and counted on the executors. What is collected are at most MOST_TERMS + PAIR_TERMS hashes and one
+    bit for each of them and each training text, about 2 * per_class * 1536 bytes (12 MB) whatever the texts' lengths.
+    Rows that repeat an id are one training text, the first by its terms.
+    """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.unique(np.array([h for w in words_of(t) for h in hashed_terms(w)], np.uint32)).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "terms"])
+            out = [np.unique(np.array([h for w in words_of(t.as_py()) for h in hashed_terms(w)], np.int64)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["id", "y", "terms"])
+
+    rows = training_rows(docs, labels, id_col, text_col, label_col, per_class).mapInArrow(hashes, "id string, y int, terms array<long>")
+    rows = stored(rows.groupBy("id", "y").agg(F.min("terms").alias("terms")), "terms")
+    n, ones = (int(x or 0) for x in rows.agg(F.count(F.lit(1)), F.sum("y")).first())
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).where(F.col("n") >= LEAST_DOCS)
+    p = F.col("n") / max(1, n)
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / max(1, ones) + 1 / max(1, n - ones)))
+    counts = stored(counts.withColumn("z", F.abs(F.col("ones") / max(1, ones) - (F.col("n") - F.col("ones")) / max(1, n - ones)) / error), "counts")
+    telling = {r.term for r in counts.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()}
+    frequent = {r.term for r in counts.orderBy(F.desc("n"), "term").limit(PAIR_TERMS).collect()}
+    terms = np.array(sorted(telling | frequent), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.packbits(np.isin(shared.value, t.values.to_numpy(), assume_unique=True)).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "bits"])
 
-    rows = training_rows(docs, labels, id_col, text_col, label_col, per_class).mapInArrow(hashes, "id string, y int, terms binary").collect()
-    rows.sort(key=lambda r: (r.id, r.terms))
-    return fit([np.frombuffer(r.terms, np.uint32) for r in rows], np.array([r.y for r in rows], np.int64))
+    found = sorted(rows.mapInArrow(bits, "id string, y int, bits binary").collect())
+    present = np.unpackbits(np.frombuffer(b"".join(r.bits for r in found), np.uint8).reshape(len(found), -1), axis=1, count=len(terms)) if found and len(terms) else np.zeros((len(found), len(terms)), np.uint8)
+    marked = (np.array([t in kind for t in terms.tolist()], bool) for kind in (telling, frequent))
+    return fit(terms, present, np.array([r.y for r in found], np.int64), *marked)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
     """The id column and the toxicity, 0 to 1, of each whole text; a null or empty text is scored by the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TERMS rows of RANK + 2 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TERMS + PAIR_TERMS rows of RANK + 2 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)

@@ -177,6 +177,50 @@ def test_classifiers_on_held_out_rows(spark):
         assert right / len(rows) >= least, (column, right, len(rows))
 
 
+def pair_texts(kind, n=1600, seed=4):
+    """Texts whose label the words zork and quux decide together only; each alone tells nothing (xor) or little."""
+    import random
+
+    r = random.Random(seed)
+    words = [f"{a}{b}{c}ar" for a in "bcdfglm" for b in "aeiou" for c in "npqrstvz"]
+    rows = []
+    for i in range(n):
+        chosen = r.sample(words, 40)
+        a, b = r.random() < 0.4, r.random() < 0.4
+        rows.append((i, " ".join(chosen + ["zork"] * a + ["quux"] * b), int(a != b if kind == "xor" else a and b)))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["xor", "and"])
+def test_toxicity_learns_pairs_that_tell_nothing_alone(spark, kind):
+    from docketry.llm import toxicity
+
+    rows = pair_texts(kind)
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.classify(table.select("doc_id", "text"), table.select("doc_id", "toxic"), threshold=0.5).collect()
+    want = {i: y for i, _, y in rows}
+    held = [r for r in out if r.held_out]
+    assert sum(r.predicted == want[r.doc_id] for r in held) >= 0.93 * len(held) and len(held) > 400
+
+
+def test_the_machines_scores_are_the_sums_over_pairs():
+    """Scores, and the gradient that training uses, against plain loops and differences."""
+    from docketry.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    model = toxicity.FactorizationMachine(np.arange(9, dtype=np.uint32), -0.3, rng.normal(size=9), rng.normal(size=(9, 3)))
+    parts = [np.flatnonzero(rng.random(9) < 0.5) for _ in range(20)] + [np.zeros(0, int)]
+    for part, got in zip(parts, model.rows(parts), strict=True):
+        y = model.bias + sum(model.weights[i] for i in part)
+        y += sum(float(model.vectors[i] @ model.vectors[j]) for n, i in enumerate(part) for j in part[n + 1 :])
+        assert abs(got - 1 / (1 + np.exp(-y))) < 1e-9
+    present = (rng.random((64, 9)) < 0.5).astype(np.uint8)
+    labels = (present[:, 0] & present[:, 1]).astype(int)
+    bias, params = toxicity.descend(present, labels, rank=3, epochs=200, decay=0.0, spread=0.1)
+    fitted = toxicity.FactorizationMachine(np.arange(9), bias, params[:, 0], params[:, 1:])
+    assert ((fitted.rows([np.flatnonzero(p) for p in present]) >= 0.5) == labels).all()
+
+
 def test_language_on_held_out_rows(spark):
     true = {r.doc_id: r.lang for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang").collect()}
     rows = [r for r in queries.op3_language(spark, LARGER).collect() if r.held_out]
