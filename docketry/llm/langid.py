@@ -1,13 +1,15 @@
 """Language identification by a convolutional network over bytes, in numpy.
 
 A text's UTF-8 bytes are cut into fixed-length windows. Each byte becomes a small vector; filters of several
-widths slide over the window; the largest response of each filter goes into a softmax. Training windows come from
-labelled texts; a text's scores are the mean over all of its windows, weighted by their bytes.
+widths slide over the window; the largest response of each filter goes into a softmax. Training rows are windows of
+labelled texts, drawn from all windows of all of them; a text's scores are the mean over all of its windows, weighted
+by their letters (bytes of letters and of signs beyond ASCII).
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,18 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bounded_sample, crc_of_id
+from docketry.llm.common import crc_of_id
 
 WINDOW = 256  # bytes
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 5), 16, 8
-PER_CLASS = 600  # training texts of each language
-WINDOWS_PER_TEXT = 3  # that training takes from one text, spread over it
-MOST_CLASSES = 200
+TRAINED = 8000  # windows that training draws, the same share for each language
 EPOCHS, BATCH, RATE = 6, 64, 0.004
 BLOCK = 512  # windows that are applied at once
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = np.array([b > 127 or chr(b).isalpha() for b in range(256)])
 
 
 def windows_of(raw: bytes, length: int = WINDOW) -> np.ndarray:
@@ -126,38 +127,54 @@ class ByteNet:
         return self
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> ByteNet:
-    """Fit on a few windows each of at most about per_class labelled texts of each language."""
-    rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")).where("__lang is not null and __text is not null")
-    narrow = rows.select("__id", "__lang").where("__id is not null")
-    chosen = bounded_sample(narrow, "__lang", "__id", per_class, "lang", MOST_CLASSES).select("__id").distinct()
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", windows: int = TRAINED) -> ByteNet:
+    """Fit on about `windows` windows (one for each language at least), drawn from all labelled texts.
+
+    Each window of a language has the same chance, by a hash of its bytes and place, wherever in its text it stands. The
+    drawn windows are collected: 256 bytes each, whatever the input; the number of languages is the labels' own.
+    """
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    many = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW))
+    counts = rows.groupBy("lang").agg(F.sum(many).alias("n"), F.max(F.struct(F.xxhash64("text").alias("h"), F.left("text", F.lit(WINDOW)).alias("t"))).alias("any")).orderBy("lang").collect()
+    share = max(1.0, windows / max(1, len(counts)))
+    chance = {r.lang: min(1.0, share / r.n) for r in counts}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, raws = [], [], []
-            for i, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if _LETTER.search(text):
-                    all_ = windows_of(text.encode())
-                    take = all_[np.unique(np.linspace(0, len(all_) - 1, WINDOWS_PER_TEXT).astype(int))]
-                    ids += [i] * len(take)
-                    langs += [lang] * len(take)
-                    raws += [w.tobytes() for w in take]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), pa.array(raws, pa.binary())], ["id", "lang", "raw"])
-
-    found = rows.join(F.broadcast(chosen), "__id").select("__id", "__lang", "__text").mapInArrow(cut, "id string, lang string, raw binary").collect()
-    found.sort()
-    classes = sorted({r.lang for r in found})
+            langs, raws = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                limit, n = chance[lang] * 2.0**32, -(-len(raw) // WINDOW)
+                for i in np.flatnonzero(spread(zlib.crc32(raw), n) < limit).tolist():
+                    part = raw[i * WINDOW : (i + 1) * WINDOW]
+                    if _LETTER.search(part.decode("utf-8", "ignore")):
+                        langs.append(lang)
+                        raws.append(part.ljust(WINDOW, b"\0"))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(raws, pa.binary())], ["lang", "raw"])
+
+    found = [(r.lang, bytes(r.raw)) for r in rows.mapInArrow(cut, "lang string, raw binary").collect()]
+    found += [(r.lang, r.any.t.encode()[:WINDOW].ljust(WINDOW, b"\0")) for r in counts if _LETTER.search(r.any.t)]
+    found = sorted(set(found))
+    classes = sorted({lang for lang, _ in found})
     if not classes:
         return ByteNet.new([UNKNOWN])
     index = {c: i for i, c in enumerate(classes)}
     net = ByteNet.new(classes)
     if len(classes) > 1:
-        net.fit(np.stack([np.frombuffer(r.raw, np.uint8) for r in found]), np.array([index[r.lang] for r in found]))
+        net.fit(np.stack([np.frombuffer(raw, np.uint8) for _, raw in found]), np.array([index[lang] for lang, _ in found]))
     return net
 
 
+def spread(seed: int, n: int) -> np.ndarray:
+    """For each of a text's windows a number from 0 to 2**32, evenly spread."""
+    x = (np.arange(n, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return (x >> np.uint64(32)).astype(np.float64)
+
+
 def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id column, lang_pred and score (its mean probability over all windows of the whole text)."""
+    """The id column, lang_pred and score (its mean probability over the letters of the whole text)."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some ten thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +182,13 @@ def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str
         for batch in batches:
             raws = [(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
             n = len(raws)
-            sums, sizes = np.zeros((n, len(net.classes))), np.array([max(1, len(r)) for r in raws], float)
+            sums = np.zeros((n, len(net.classes)))
 
             def apply(owners: list[np.ndarray], blocks: list[np.ndarray], sums: np.ndarray = sums) -> None:
                 owner, block = np.concatenate(owners), np.concatenate(blocks)
                 for at in range(0, len(block), BLOCK):
                     part = block[at : at + BLOCK]
-                    weight = np.maximum(1, (part != 0).sum(1))
+                    weight = 1e-6 + _LETTERS[part].sum(1)
                     np.add.at(sums, owner[at : at + BLOCK], net(part) * weight[:, None])
 
             owners, blocks, held = [], [], 0
@@ -201,7 +218,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Returns per input row: the id column, held_out (crc32 of the id as text modulo fold[0] is fold[1]; a null id is
     not), lang_pred, score. A null text and one without letters are `und` with score 0; rows whose language is null
-    teach nothing; a table without labels predicts `und`; other columns are ignored; an empty table gives no rows.
+    teach nothing; a table without labels predicts `und`; of languages that are equally likely it is the first by name;
+    other columns are ignored; an empty table gives no rows.
     """
     out = F.coalesce(crc_of_id(id_col) % fold[0] == fold[1], F.lit(False))
     net = train(docs.where(~out), id_col, text_col, lang_col)

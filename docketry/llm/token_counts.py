@@ -2,8 +2,8 @@
 
 A text is cut into pre-tokens that no token of the vocabulary crosses. Tier one is a broadcast table of the
 corpus's frequent pre-tokens and their lengths in tokens; tier two is a bounded cache in each Python worker,
-filled by encoding what it lacks. Counting moves no pre-token between tasks: only each task's heavy hitters are
-merged, to make tier one.
+filled by encoding what it lacks. No pre-token is a key of a shuffle: to make tier one, each task sums its texts up in
+a summary of fixed size, and summaries are merged in a tree, FAN of them at a time.
 """
 
 from __future__ import annotations
@@ -14,15 +14,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import map_groups, stored
+
 #: A run of spaces with the run of others behind it. The vocabulary has no piece in which a space follows another
 #: character, so no merge crosses the start of such a run.
 PRE_TOKEN = re.compile(r" *[^ ]+| +")
 
 FREQUENT = 32_768  # pre-tokens in the broadcast table
-PER_TASK = 2_048  # heavy hitters that one task reports
+SUMMARY = 8_192  # heavy hitters in a task's summary; a merged one holds FREQUENT at most
+FAN = 16  # summaries that are merged at once
 TRACKED = 200_000  # pre-tokens that a task counts at once; beyond it the rare half goes
 CACHED = 300_000  # pre-tokens in a worker's own cache
 LONGEST = 64  # longer pre-tokens are encoded each time and never kept
@@ -62,8 +66,16 @@ class PieceCounter:
         return sum(n for n in found if n is not None) + sum(n * k for n, k in zip(lengths, missed.values(), strict=True))
 
 
-def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", most: int = FREQUENT) -> list[str]:
-    """The corpus's most frequent pre-tokens. Every text counts; each task reports at most PER_TASK of them."""
+SUMMARY_SQL = "place long, units array<string>, counts array<long>"
+
+
+def summary(place: int, seen: Counter[str], most: int) -> pa.RecordBatch:
+    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]
+    return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([[u for u, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["place", "units", "counts"])
+
+
+def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", most: int = FREQUENT, fan: int = FAN) -> list[str]:
+    """The corpus's most frequent pre-tokens. Every text counts; a summary has at most `most` pre-tokens of LONGEST signs."""
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -72,12 +84,22 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", most: int = FRE
                 seen.update(u for u in pre_tokens(text.as_py() or "") if len(u) <= LONGEST)
                 if len(seen) > TRACKED:
                     seen = Counter(dict(seen.most_common(TRACKED // 2)))
-        top = seen.most_common(PER_TASK)
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"])
+        yield summary(TaskContext.get().partitionId(), seen, min(most, SUMMARY))
+
+    def merge(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for units, counts in zip(table.column("units").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            for u, n in zip(units, counts, strict=True):
+                seen[u] += n
+        yield summary(table.column("place")[0].as_py(), seen, most)
 
-    found = docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").mapInArrow(heavy, "unit string, n long")
-    top = found.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(most)
-    return [r.unit for r in top.collect()]  # at most `most` rows of at most LONGEST characters
+    found = stored(docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''").mapInArrow(heavy, SUMMARY_SQL), "summaries")
+    left = found.count()
+    while left > 1:
+        left = -(-(found.agg(F.max("place")).first()[0] + 1) // fan)
+        found = stored(map_groups(found.withColumn("place", F.expr(f"place div {fan}")), ["place"], merge, SUMMARY_SQL), "summaries")
+    rows = found.collect()  # one summary
+    return rows[0].units if rows else []
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, frequent: int = FREQUENT) -> DataFrame:
@@ -85,7 +107,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     Returns one row per input row: the id column, n_bytes, n_tokens, over_limit (n_tokens > limit). A null text
     counts as empty (0 bytes, 0 tokens); ids may be null or repeat; other columns are ignored, whatever their
-    names. An empty table gives no rows. model_path must exist on every machine.
+    names. An empty table gives no rows. Counts never depend on the table of frequent pre-tokens. model_path must exist on every machine.
     """
     import sentencepiece
 

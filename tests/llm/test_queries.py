@@ -235,6 +235,91 @@ def test_token_counts_are_the_librarys(spark):
     assert all(r.n_tokens == len(encoder.encode(texts[r.doc_id])) for r in queries.op5_token_counts(spark, DATA).collect())
 
 
+def test_frequent_pre_tokens_are_merged_in_a_tree(spark):
+    from docketry.llm import token_counts
+
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    want = Counter(u for t in texts for u in token_counts.pre_tokens(t or "") if t and len(u) <= token_counts.LONGEST)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(9)
+    got = token_counts.frequent_pre_tokens(docs, most=300, fan=2)
+    assert len(got) == 300 and min(want[u] for u in got[:100]) >= sorted(want.values())[-110]
+
+
+def test_the_byte_networks_scores_are_those_of_plain_loops(spark):
+    """Forward pass and gradient against loops and differences; texts are the mean of all their windows."""
+    from docketry.llm import langid
+
+    rng = np.random.default_rng(6)
+    net = langid.ByteNet.new(["a", "b", "c"])
+    for p in (*net.biases, net.shift):
+        p += rng.normal(size=p.shape).astype(np.float32)
+
+    def plain(window):
+        pooled = []
+        for width, f, b in zip(langid.WIDTHS, net.filters, net.biases, strict=True):
+            for k in range(langid.FILTERS):
+                best = max(sum(float(net.embedding[window[i + o]] @ f[o * langid.EMBEDDING : (o + 1) * langid.EMBEDDING, k]) for o in range(width)) for i in range(len(window) - width + 1))
+                pooled.append(max(0.0, best + float(b[k])))
+        z = np.array(pooled) @ net.dense + net.shift
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    texts = ["Ein kurzer Text.", "und " * 200, "é" * 300]
+    rows = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()
+    for r, text in zip(sorted(rows), texts, strict=True):
+        windows = langid.windows_of(text.encode())
+        letters = [sum(b > 127 or chr(b).isalpha() for b in w.tolist()) for w in windows]
+        want = sum(plain(w) * n for w, n in zip(windows, letters, strict=True)) / sum(letters)
+        assert r.lang_pred == net.classes[int(want.argmax())] and abs(r.score - want.max()) < 1e-4
+    windows = rng.integers(1, 255, (8, langid.WINDOW)).astype(np.uint8)
+    labels = rng.integers(0, 3, 8)
+    before = -np.log(net(windows)[np.arange(8), labels]).mean()
+    net.fit(windows, labels, epochs=30)
+    assert -np.log(net(windows)[np.arange(8), labels]).mean() < 0.2 * before
+
+
+def test_every_language_is_learned_from_whole_texts(spark):
+    """300 languages; and a text whose last windows alone are in another language than its first."""
+    from docketry.llm import langid
+
+    rows = [(i, " ".join(chr(0x4E00 + i) * 3 for _ in range(30)), f"l{i:03d}") for i in range(300)]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(net.classes) == 300
+    mixed = [(i, "1 2 3 " * 400 + ("uno due tre " if i % 2 else "eins zwei drei ") * 300, "it" if i % 2 else "de") for i in range(40)]
+    docs = spark.createDataFrame(mixed, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == ("it" if r.doc_id % 2 else "de") for r in langid.identify(docs).collect())
+
+
+def test_votes_equal_plain_loops():
+    from docketry.llm import quality
+
+    counts = quality.Counts()
+    good = [f"a plain sentence about thing {i} and its kind." for i in range(40)]
+    poor = [f"BUY|{i}| now!!! $$$ {i}" for i in range(40)] + ["", None]
+    model = quality.fit([counts(t) for t in good + poor], np.array([1] * 40 + [0] * 42))
+    texts = [*good[:3], *poor[:3], "", None, "  \n", "zzz", "x" * 5000, "語" * 300]
+    x = model.embed([counts(t) for t in texts])
+    for row, got in zip(x, model([counts(t) for t in texts]), strict=True):
+        near = [round(float(row @ v), 9) for v in model.vectors]
+        last = sorted(near)[-quality.NEIGHBOURS]
+        votes = [(max(s, 1e-6) ** 4, y) for s, y in zip(near, model.labels, strict=True) if s >= last]
+        assert abs(got - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-6
+    assert model([counts(None)])[0] < 0.3 and (model([counts(t) for t in good]) > 0.7).all()
+    assert quality.shape("x" * 100 + "9") == "a9"
+
+
+def test_words_alone_can_tell_quality():
+    from docketry.llm import quality
+
+    import random
+
+    r, counts = random.Random(1), quality.Counts()
+    text = lambda words: " ".join(r.choice(words) for _ in range(60))
+    kinds = ["river stone cloud meadow lantern copper walnut harbor".split(), "deal offer click cheap winner bonus casino credit".split()]
+    train = [(text(kinds[y]), 1 - y) for y in (0, 1) for _ in range(60)]
+    model = quality.fit([counts(t) for t, _ in train], np.array([y for _, y in train]))
+    assert all((model([counts(text(kinds[y]))])[0] >= 0.5) == (y == 0) for y in (0, 1) for _ in range(20))
+
+
 def test_packing_pads_little(spark):
     rows = queries.op4_packing(spark, LARGER).collect()
     size = defaultdict(int)
