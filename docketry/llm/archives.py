@@ -3,21 +3,26 @@
 ARC has two versions of record header. Version 1: URL, IP address, date, content type, length. Version 2 puts
 result code, checksum, location, offset and file name before the length. A file begins with a version block that
 names its version. The converter reads each header by its file's version, takes as many bytes as it declares, and
-makes up what WARC wants besides: record ids, ISO timestamps, types and digests.
+makes up what WARC wants besides: record ids, ISO timestamps, types and digests. Headers are read from both ends, as
+addresses and content types may hold blanks; blank lines between records are passed over; a header that cannot be
+read is reported, and reading goes on at the next line that is one.
 
-WARC files are written by Spark's text writer with CRLF between values, so the files are committed as any other
-output of Spark is and can be on any file system that it knows; they are gzip streams of standard records.
+WARC files are written by Spark's text writer, one value a file, so the files are committed as any other output of
+Spark is and can be on any file system that it knows. A file is a gzip stream of standard records behind a warcinfo
+record, of about FILE_BYTES before compression.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +37,9 @@ CRLF = b"\r\n"
 
 SHORTEST = 100  # payloads under so many bytes are never revisits
 DATE = "20240101000000"
-RECORDS_PER_FILE = 20_000
+FILE_BYTES = 32 << 20  # of records in one WARC file
+
+_HEADER = re.compile(r"(?P<url>\S.*?) (?P<ip>[0-9A-Fa-f.:\-]+) (?P<date>\d{4,17}) (?P<rest>\S.*)")
 
 
 class ArchiveError(ValueError):
@@ -69,37 +76,95 @@ def write_arc(records: list[ArcRecord], version: int, name: str = "segment.arc")
 
 def _arc_header(r: ArcRecord, version: int, name: str, offset: int) -> bytes:
     middle = [] if version == 1 else ["200", "-", "-", str(offset), name]
-    return (" ".join([arc_url(r.url), r.ip, r.date, r.content_type.replace(" ", ""), *middle, str(len(r.body))]) + "\n").encode()
+    return (" ".join([arc_url(r.url), r.ip, r.date, r.content_type, *middle, str(len(r.body))]) + "\n").encode()
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of one ARC file, without its version block."""
-    at, fields = 0, None
-    while at < len(data):
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise ArchiveError("a header line has no end")
-        parts = data[at:end].decode("utf-8", "surrogateescape").split(" ")
+def arc_header(line: bytes, fields: list[str]) -> dict[str, str] | None:
+    """A header line by its fields' names, or None if it is none.
+
+    The address, which may hold blanks, ends in front of the IP address and the date; from the right, every field but
+    the content type is one word.
+    """
+    m = _HEADER.fullmatch(line.rstrip(b"\r").decode("utf-8", "surrogateescape"))
+    after = fields[4:]
+    parts = m["rest"].split(" ") if m else []
+    if len(parts) < len(after) + 1 or not parts[-1].isdecimal():
+        return None
+    kind, last = " ".join(parts[: -len(after)]), parts[-len(after) :]
+    return dict(zip(fields, [m["url"], m["ip"], m["date"], kind, *last], strict=True))
+
+
+def read_arc(chunks: bytes | Iterator[bytes], strict: bool = True) -> Iterator[ArcRecord | ArchiveError]:
+    """The records of one ARC file (its bytes, whole or in pieces), without its version block.
+
+    strict: the first fault ends the reading. Otherwise faults are yielded as errors, and reading goes on with the next
+    line that is a header. At most one record and one piece are held.
+    """
+    stream = Buffered(iter([chunks]) if isinstance(chunks, bytes) else chunks)
+    fields: list[str] | None = None
+    lost = False
+    while stream.need(1):
+        line = stream.line()
+        if not line.strip():
+            continue
+        error = head = None
         if fields is None:
-            if not parts[0].startswith("filedesc://"):
-                raise ArchiveError("the file has no version block")
-            length = int(parts[-1])
-            body = data[end + 1 : end + 1 + length]
-            version = int(body[:1] or b"0")
-            if version not in ARC_FIELDS:
-                raise ArchiveError(f"unknown version {body[:1]!r}")
-            fields = ARC_FIELDS[version]
+            first = line.decode("utf-8", "surrogateescape").split(" ")
+            if not first[0].startswith("filedesc://") or not first[-1].strip().isdecimal():
+                error = ArchiveError("the file has no version block")
+            else:
+                about = stream.take(int(first[-1]))
+                fields = ARC_FIELDS.get(int(about[:1])) if about[:1].isdigit() else None
+                error = None if fields else ArchiveError(f"unknown version {about[:1]!r}")
+            if error is not None:
+                if strict:
+                    raise error
+                yield error
+                return
+            continue
+        head = arc_header(line, fields)
+        if head is None:
+            error = None if lost else ArchiveError(f"no header of {len(fields)} fields: {line[:80]!r}")
+            lost = True
         else:
-            if len(parts) != len(fields):
-                raise ArchiveError(f"{len(parts)} header fields, {len(fields)} expected")
-            named = dict(zip(fields, parts, strict=True))
-            length = int(named.pop("Archive-length"))
-            body = data[end + 1 : end + 1 + length]
-            if len(body) == length:
-                yield ArcRecord(named.pop("URL"), named.pop("IP-address"), named.pop("Archive-date"), named.pop("Content-type"), body, named)
-        if len(body) != length:
-            raise ArchiveError("the file ends inside a record")
-        at = end + 1 + length + 1
+            lost = False
+            size = int(head.pop("Archive-length"))
+            body = stream.take(size)
+            if len(body) < size:
+                error = ArchiveError("the file ends inside a record")
+            else:
+                yield ArcRecord(head.pop("URL"), head.pop("IP-address"), head.pop("Archive-date"), head.pop("Content-type"), body, head)
+        if error is not None:
+            if strict:
+                raise error
+            yield error
+
+
+class Buffered:
+    """A stream of pieces that is read by lines and by lengths."""
+
+    def __init__(self, chunks: Iterator[bytes]) -> None:
+        self.chunks, self.held = chunks, b""
+
+    def need(self, n: int) -> bool:
+        parts, size = [self.held], len(self.held)
+        while size < n and (chunk := next(self.chunks, None)) is not None:
+            parts.append(chunk)
+            size += len(chunk)
+        self.held = b"".join(parts)
+        return size >= n
+
+    def take(self, n: int) -> bytes:
+        self.need(n)
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+    def line(self) -> bytes:
+        """The bytes up to the next line feed, which is passed over."""
+        while (end := self.held.find(b"\n")) < 0:
+            if not self.need(len(self.held) + 1):
+                return self.take(len(self.held))
+        return self.take(end + 1)[:-1]
 
 
 def iso_date(arc_date: str) -> str:
@@ -144,32 +209,29 @@ def warc_record(r: ArcRecord, key: str, refers_key: str | None = None) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + block + CRLF
 
 
-def read_warc_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields and block of each record of a WARC stream; at most one record and one chunk are held."""
-    held = b""
+def warcinfo(key: str) -> bytes:
+    """The record that begins a file, up to the first of its two closing CRLFs."""
+    about = b"software: docketry\r\nformat: WARC File Format 1.0\r\n"
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(key)), ("WARC-Date", iso_date(DATE)), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(about)))]
+    return "\r\n".join([WARC_VERSION, *(f"{k}: {v}" for k, v in fields), "", ""]).encode() + about + CRLF
 
-    def need(n: int) -> bool:
-        nonlocal held
-        parts, size = [held], len(held)
-        while size < n and (chunk := next(chunks, None)) is not None:
-            parts.append(chunk)
-            size += len(chunk)
-        held = b"".join(parts)
-        return size >= n
 
-    while need(1):
-        while (end := held.find(CRLF + CRLF)) < 0:
-            if not need(len(held) + 1):
+def read_warc_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of each record of a WARC stream; at most one record and one piece are held."""
+    stream = Buffered(chunks)
+    while stream.need(1):
+        while (end := stream.held.find(CRLF + CRLF)) < 0:
+            if not stream.need(len(stream.held) + 1):
                 raise ArchiveError("the file ends inside a header")
-        version, *lines = held[:end].decode("utf-8", "surrogateescape").split("\r\n")
+        version, *lines = stream.take(end + 4)[:end].decode("utf-8", "surrogateescape").split("\r\n")
         if not version.startswith("WARC/"):
             raise ArchiveError(f"no record begins with {version[:20]!r}")
         fields = {k: v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = end + 4 + int(fields["Content-Length"])
-        if not need(size + 4) or held[size : size + 4] != CRLF + CRLF:
+        size = int(fields["Content-Length"])
+        block = stream.take(size + 4)
+        if len(block) < size + 4 or block[size:] != CRLF + CRLF:
             raise ArchiveError("a record is not as long as it says")
-        yield fields, held[end + 4 : size]
-        held = held[size + 4 :]
+        yield fields, block[:size]
 
 
 def gunzip(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
@@ -177,7 +239,7 @@ def gunzip(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
     at, machine = 0, zlib.decompressobj(31)
     while at < len(data):
         piece = machine.decompress(data[at : at + step])
-        at += step
+        at = min(at + step, len(data))
         if machine.eof:
             at -= len(machine.unused_data)
             machine = zlib.decompressobj(31)
@@ -197,7 +259,7 @@ def revisits(pages: DataFrame, id_col: str, shortest: int = SHORTEST) -> DataFra
 
 
 def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shortest: int = SHORTEST) -> DataFrame:
-    """WARC records (column `record`, text) for a table of pages, by way of ARC files of both versions.
+    """WARC records (column `record`, binary) for a table of pages, by way of ARC files of both versions.
 
     A null html is an empty payload, a null url becomes urn:none. Among records with equal payloads of at least
     `shortest` bytes those with the smallest id are responses (all of them, should rows repeat an id), the others
@@ -219,24 +281,79 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                     segment = write_arc([ArcRecord(u, "127.0.0.1", DATE, "text/html", h + p) for h, (_, u, p, _) in zip(heads, mine, strict=True)], version)
                     for (i, _, _, refers), r in zip(mine, read_arc(segment), strict=True):
                         out.append(warc_record(r, f"page:{'' if i is None else i}", None if refers is None else f"page:{refers}"))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["record"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    return joined.select("id", "url", "payload", "refers_to").mapInArrow(run, "record binary")
 
-    return joined.select("id", "url", "payload", "refers_to").mapInArrow(run, "record string")
 
+def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record, or fault, of the ARC files in a folder, gzip or not: file, place, url, ip, arc_date,
+    content_type, body (binary), error. place counts a file's records and faults; a fault has nulls but for its text.
+
+    A file is read by one task, piece by piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_buffer()
+                chunks = gunzip(data) if bytes(data[:2]) == b"\x1f\x8b" else (bytes(data[i : i + (1 << 20)]) for i in range(0, len(data), 1 << 20))
+                for place, r in enumerate(read_arc(chunks, strict=False)):
+                    row = [None] * 5 + [str(r)] if isinstance(r, ArchiveError) else [r.url, r.ip, r.date, r.content_type, r.body, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([name, place, *row], kinds, strict=True)], names)
+
+    names = ["file", "place", "url", "ip", "arc_date", "content_type", "body", "error"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, place long, url string, ip string, arc_date string, content_type string, body binary, error string")
+
+
+def convert_arc(records: DataFrame) -> DataFrame:
+    """WARC records (column `record`, binary) for the rows of read_arc_files without a fault; all are responses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, place, url, ip, date, kind, body = (c[i].as_py() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([warc_record(ArcRecord(url, ip, date, kind, body), f"arc:{name}:{place}")], pa.binary())], ["record"])
+
+    good = records.where("error is null").select("file", "place", "url", "ip", "arc_date", "content_type", "body")
+    return good.mapInArrow(run, "record binary")
+
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Gzipped WARC files of about file_bytes each before compression, or of one record that is longer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, made = TaskContext.get().partitionId(), [], 0, 0
+        for batch in batches:
+            for record in batch.column(0):
+                if held and size + len(record.as_buffer()) > file_bytes:
+                    yield whole(part, made, held)
+                    held, size, made = [], 0, made + 1
+                held.append(record.as_py())
+                size += len(held[-1])
+        if held:
+            yield whole(part, made, held)
+
+    def whole(part: int, made: int, held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([CRLF.join([warcinfo(f"file:{part}:{made}"), *held])], pa.binary())], ["file"])
 
-def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Gzipped WARC files, at most per_file records each."""
-    records.select("record").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    # The cast keeps all bytes as they are, and the writer closes the last record with its line end.
+    files = records.select("record").mapInArrow(run, "file binary").select(F.col("file").cast("string"))
+    files.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: key, type, refers_key, declared digest and length, and those of the payload it holds."""
+    """One row per record but for warcinfo: key, type, refers_key, declared digest and length, and those of the payload it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
                 for f, block in read_warc_records(gunzip(content.as_buffer())):
+                    if f["WARC-Type"] == "warcinfo":
+                        continue
                     payload = split_http(block)[1]
                     kind = f["WARC-Type"]
                     digest, size = f["WARC-Payload-Digest"].removeprefix("sha256:"), int(f["X-Payload-Length"])

@@ -207,6 +207,39 @@ def test_arc_round_trip_and_faults():
     assert archives.iso_date("19990102030405") == "1999-01-02T03:04:05Z"
 
 
+def test_foreign_arc_files(spark, tmp_path):
+    """Content types and addresses with blanks, blank lines between records, CRLF, bytes that are no text, gzip, faults."""
+    import gzip
+
+    body = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n\xff\xfe\x00bytes\n"
+    about = b"1 0 someone\nURL IP-address Archive-date Content-type Archive-length\n"
+    start = b"filedesc://x.arc 0.0.0.0 19990101000000 text/plain %d\n" % len(about) + about
+    one = b"\nhttp://a/ 1.2.3.4 19990102030405 text/html; charset=utf-8 %d\n" % len(body) + body
+    two = b"\n\n\nhttp://a/b c 1.2.3.4 19990102030406 no-type %d\r\n" % len(body) + body
+    bad = b"\nhttp://broken header\nmore of it\n"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.arc").write_bytes(start + one + two + bad + one)
+    (tmp_path / "a" / "y.arc.gz").write_bytes(b"".join(gzip.compress(p) for p in (start, one, two)))
+    (tmp_path / "a" / "z.arc").write_bytes(b"nothing of the kind\n")
+    rows = archives.read_arc_files(spark, str(tmp_path / "a")).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.place)):
+        by.setdefault(r.file.rsplit("/", 1)[1], []).append((r.url, r.content_type, None if r.body is None else bytes(r.body), r.error is None))
+    first, second = ("http://a/", "text/html; charset=utf-8", body, True), ("http://a/b c", "no-type", body, True)
+    assert by["x.arc"] == [first, second, (None, None, None, False), first] and by["y.arc.gz"] == [first, second]
+    assert by["z.arc"] == [(None, None, None, False)]
+    two = b"2 0 someone\nURL\n"
+    v2 = b"filedesc://x 0.0.0.0 19990101000000 text/plain 200 - - 0 x %d\n" % len(two) + two + b"\nhttp://a b/ 1.2.3.4 19990102030405 text/html; q=1 404 abc - 77 x.arc 3\nabc"
+    (r,) = archives.read_arc(v2)
+    assert (r.url, r.content_type, r.body, r.extra["Result-code"], r.extra["Offset"]) == ("http://a b/", "text/html; q=1", b"abc", "404", "77")
+    records = archives.convert_arc(archives.read_arc_files(spark, str(tmp_path / "a")).repartition(1))
+    archives.write_warc(records, str(tmp_path / "w"), file_bytes=1500)
+    files = sorted((tmp_path / "w").glob("*.gz"))
+    assert len(files) > 1 and all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.0\r\nWARC-Type: warcinfo") for f in files)
+    back = archives.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len(back) == 5 and {(r.record_type, r.payload_bytes) for r in back} == {("response", len(body) - body.index(b"\r\n\r\n") - 4)}
+
+
 VECTORS = [(0, [1.0, 0.0], 1), (1, [2.0, 0.01], 1), (2, [1.0, 0.0], 2), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [1.0, 0.0, 0.0], 1), (8, [1.0, 0.02], None), (None, [1.0, 0.0], 1), (9, [], 1), (10, [1.0, 0.03], 1), (10, [1.0, 0.03], 1), (50, [0.5, -0.25], 1), (100, [float("inf"), 1.0], 1)]
 
 
