@@ -52,7 +52,7 @@ def share_budget(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
     In the order of cap / w, the nodes that fill up come first; the rest share what remains by weight, rounded so
     that the parts sum to it. Sums and products are exact decimals.
     """
-    whole = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
+    whole = Window.partitionBy(*parent)
     order = whole.orderBy(F.col("cap").cast("double") / F.col("w"), key)
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     big = lambda c: c.cast("decimal(24,0)")
@@ -72,15 +72,13 @@ def leaf_budgets(rows: DataFrame, names: list[str], share: tuple[int, int], max_
     keys = [_key(n) for n in names]
     leaves = rows.groupBy(*keys).agg(F.sum("__n").alias("supply"), *(F.max(f"__w_{n}").alias(f"__w_{n}") for n in names))
     weighted = reduce(lambda a, b: a & b, (F.col(f"__w_{n}") > 0 for n in names))
-    leaves = stored(leaves.where(weighted & (F.col("supply") > 0)).withColumn("cap", F.col("supply") * max_epochs), "mix-leaves")
-    above = leaves.agg(F.expr(f"least(coalesce(sum(supply), 0) * {share[0]} div {share[1]}, coalesce(sum(cap), 0))").cast("long").alias("budget"))
+    leaves = stored(leaves.where(weighted & (F.col("supply") > 0)).withColumns({"cap": F.col("supply") * max_epochs, "__root": F.lit(0)}), "mix-leaves")
+    above = leaves.groupBy("__root").agg(F.expr(f"least(sum(supply) * {share[0]} div {share[1]}, sum(cap))").cast("long").alias("budget"))
     for depth, name in enumerate(names):
-        parent = keys[:depth]
-        nodes = leaves.groupBy(*keys[: depth + 1]).agg(F.sum("cap").alias("cap"), F.max(f"__w_{name}").alias("w"))
-        # The root is a single row.
-        nodes = nodes.join(above, parent) if parent else nodes.join(F.broadcast(above), F.lit(True))
-        above = share_budget(nodes, parent, keys[depth]).select(*keys[: depth + 1], F.col("alloc").alias("budget"))
-    return above.withColumnRenamed("budget", "alloc").join(leaves.select(*keys, "supply"), keys)
+        parent = ["__root", *keys[:depth]]
+        nodes = leaves.groupBy(*parent, keys[depth]).agg(F.sum("cap").alias("cap"), F.max(f"__w_{name}").alias("w"))
+        above = share_budget(nodes.join(above, parent), parent, keys[depth]).select(*parent, keys[depth], F.col("alloc").alias("budget"))
+    return above.drop("__root").withColumnRenamed("budget", "alloc").join(leaves.select(*keys, "supply"), keys)
 
 
 def _order(seed: str, epoch: Column, ident: Column) -> Column:
@@ -113,14 +111,16 @@ def with_leaves(rows: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFram
 
 
 def take_epochs(rows: DataFrame, cuts: DataFrame, names: list[str], seed: str = SEED) -> DataFrame:
-    """Rows (with keys, __id, __n) repeated for each epoch that takes them, with `epoch` and `take_tokens`."""
+    """Rows (with keys, __id, __n) repeated for each epoch that takes them, with `epoch`, `take_tokens` and __take, the
+    tokens that are left of a document that is cut."""
     keys = [_key(n) for n in names]
     joined = with_leaves(rows, cuts, keys).withColumn("h", _order(seed, F.col("epochs"), F.col("__id")))
     more = F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
     out = joined.withColumn("epoch", F.explode(F.expr("sequence(0, cast(epochs as int))"))).withColumn("__more", more)
     out = out.where((F.col("epoch") < F.col("epochs")) | (F.col("__more") == 1))
     cut = (F.col("epoch") == F.col("epochs")) & (F.col("h") == F.col("cut"))
-    return out.withColumn("take_tokens", F.when(cut, F.least("__n", "take")).otherwise(F.col("__n"))).drop("epochs", "cut", "take", "h", "__more")
+    out = out.withColumns({"take_tokens": F.when(cut, F.least("__n", "take")).otherwise(F.col("__n")), "__take": F.when(cut, F.col("take"))})
+    return out.drop("epochs", "cut", "take", "h", "__more")
 
 
 def mix(
@@ -148,11 +148,28 @@ def mix(
     return out.select(F.col("__id").alias(id_col), *shown, "epoch", F.col("__n").alias("n_tokens"), "take_tokens")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word; n is 1 at least."""
+    blank = r"[\x20\x09-\x0D]+"
+    led = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)  # the split begins with an empty part then
+    limit = (n + led + 1).cast("int")
+    parts = F.split(text, blank, limit)
+    rest = F.length(F.element_at(parts, -1))
+    return F.when(F.size(parts) == limit, F.regexp_replace(F.left(text, F.length(text) - rest), blank + "$", "")).otherwise(text)
+
+
 def mix_documents(docs: DataFrame, levels: list[Level], id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (1, 1), max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The same selection as whole rows of `docs`, repeated by epoch; texts stay whole and are not shuffled."""
+    """The same selection as rows of `docs`, repeated by epoch; the last document of a leaf's partial epoch is cut
+    behind the words that the budget leaves it, so the texts' words are the budget.
+
+    Texts are not shuffled, unless the tree has more than MOST_LEAVES leaves. Nulls, ties and repeated ids are as in mix().
+    """
     names = [n for n, _, _ in levels]
     rows = narrow_rows(docs, id_col, word_tokens(F.col(text_col)), levels)
     cuts = leaf_cuts(stored(rows, "mix-rows"), names, share, max_epochs, seed)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     keyed = docs.select(whole, F.col(id_col).alias("__id"), F.lit(0).cast("long").alias("__n"), *level_keys(levels))
-    return take_epochs(keyed, cuts, names, seed).select("__row.*")
+    text = F.col("__row").getField(text_col)
+    cut = F.when(F.col("__take").isNotNull(), first_words(text.cast("string"), F.col("__take"))).otherwise(text)
+    fields = [(cut if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns]
+    return take_epochs(keyed, cuts, names, seed).select(*fields)

@@ -18,7 +18,11 @@ def _scored(docs: DataFrame, score) -> DataFrame:  # noqa: ANN001
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under the threshold; learned from the labels of documents that are in `docs`."""
+    """Documents whose toxicity is under the threshold; learned from the labels of documents that are in `docs`.
+
+    Null and empty texts are scored as texts without terms; rows that repeat are scored each; without labels of both
+    classes all scores are the same. An empty table gives an empty table. Columns are those of docs, whatever their names.
+    """
     ship(spark)
     labels = table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(F.coalesce(crc_of_id("doc_id") % 3 != 1, F.lit(True))))
@@ -26,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality reaches the threshold."""
+    """Documents whose quality reaches the threshold; nulls, repeats, empty tables and names as in the toxicity stage."""
     ship(spark)
     labels = table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(F.coalesce(crc_of_id("doc_id") % 5 != 0, F.lit(True))))
@@ -44,12 +48,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that fill the budget, whole, once for each epoch that takes them."""
+    """The documents that fill the budget, once for each epoch that takes them; tokens are words.
+
+    The last document of a leaf's partial epoch is cut to the words left, and its n_chars with it. Texts without words
+    take nothing of the budget and come with whole epochs; null languages and sources are nodes of their own.
+    """
     ship(spark)
-    return mixing.mix_documents(docs, mix_levels())
+    mixed = mixing.mix_documents(docs, mix_levels())
+    return mixed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents."""
+    """The pieces of all documents; a null or empty text is its end id alone, and each row is a document of its own."""
     ship(spark)
     return packing.pack(docs, byte_bpe_encoder(packing.Encoder))

@@ -166,6 +166,44 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0), mix_levels()).count() == 0
     whole = mixing.mix_documents(docs, mix_levels())
     assert whole.columns == docs.columns and whole.count() == len(rows)
+    # a cut document has just the words left, so the texts' words are the budget
+    key = lambda i: -1 if i is None else i
+    want = sorted((key(r.doc_id), r.take_tokens) for r in rows)
+    assert sorted((key(r.doc_id), len((r.text or "").split())) for r in whole.collect()) == want
+
+
+def test_mixing_of_a_hot_leaf_with_equal_hashes(spark):
+    """One leaf of 5000 rows, half of them with one id: equal places in the order, and the cut may fall on them."""
+    rows = [(7 if i % 2 else i, f"w{i} b c", "en", "src1") for i in range(5000)] + [(9001, "x y", "en", "src2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    levels = [("lang", F.col("lang"), F.lit(1)), ("source", F.col("source"), F.lit(1))]
+    for share in ((1, 3), (1, 1), (3, 2)):
+        out = mixing.mix(docs, levels, share=share).collect()
+        budget = (5000 * 3 + 2) * share[0] // share[1]
+        full = {r.take_tokens for r in out if r.n_tokens == r.take_tokens}
+        cut = [r for r in out if r.take_tokens < r.n_tokens]
+        tied = {r.doc_id for r in cut} <= {7}
+        assert full and (sum(r.take_tokens for r in out) == budget or tied) and len({(r.source, r.epoch) for r in cut}) <= 2
+    assert mixing.mix(docs, levels, max_epochs=1, share=(9, 1)).count() == 5001
+
+
+def test_first_words(spark):
+    texts = [("a b  c d", 2, "a b"), ("  a\tb c", 1, "  a"), ("a b", 5, "a b"), ("a b ", 2, "a b"), ("a", 1, "a"), ("a\nb c " * 9000, 26_000, None)]
+    got = spark.createDataFrame(texts, "t string, n long, w string").select(mixing.first_words(F.col("t"), F.col("n")).alias("x"), "w", "t", "n").collect()
+    assert all(r.x == r.w if r.w is not None else len(r.x.split()) == r.n and r.t.startswith(r.x) for r in got)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_rows(spark, docs, labels, tmp_path, empty):
+    """Nulls, repeats, clashing names and empty tables through all stages."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = docs.limit(0) if empty else docs
+    for name, stage in pipeline.STAGES:
+        before, rows = rows, stage(spark, rows, str(tmp_path))
+        assert name == "packing" or rows.columns == before.columns
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+        assert (rows.count() == 0) if empty else (rows.count() > 0 or name == "quality classifier")
 
 
 def test_classifiers(spark, docs, labels):
