@@ -65,13 +65,23 @@ def _fields(raw: Column, start: Column) -> Column:
 
 def scan(prepared: Column) -> Column:
     """Citations of a prepared text in order, none inside another: structs with their span, parts and written form."""
-    pieces = F.split(F.regexp_replace(prepared, ANY, f"{_MARK}$0{_MARK}"), _MARK)
-
-    def located(ps: Column) -> Column:
-        at = lambda i: F.aggregate(F.slice(ps, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p))
-        return F.filter(F.transform(ps, lambda p, i: F.when(i % 2 == 1, let(at(i), lambda start: _fields(p, start)))), lambda x: x.isNotNull())
-
-    return let(pieces, located)
+    def spans(pattern: str) -> Column:
+        """(start, longest first, raw) of a pattern's matches."""
+        pieces = F.split(F.regexp_replace(prepared, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+        at = lambda ps, i: F.aggregate(F.slice(ps, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p))
+        span = lambda ps: lambda p, i: F.when(i % 2 == 1, F.struct(at(ps, i).alias("start"), (-F.length(p)).alias("back"), p.alias("raw")))
+        return let(pieces, lambda ps: F.filter(F.transform(ps, span(ps)), lambda x: x.isNotNull()))
+
+    def apart(found: Column) -> Column:
+        """In order, without those that begin inside one that is kept."""
+        kept = lambda k, x: F.coalesce(F.element_at(k, -1)["start"] - F.element_at(k, -1)["back"], F.lit(0)) <= x["start"]
+        step = lambda k, x: F.when((F.size(k) == 0) | kept(k, x), F.concat(k, F.array(x))).otherwise(k)
+        return F.aggregate(F.array_sort(found), F.expr("cast(array() as array<struct<start:int,back:int,raw:string>>)"), step)
+
+    # A match of one pattern inside that of another matters only where there are several.
+    every = F.concat(*(spans("(?i)" + p) for p in REPORTERS.values()))
+    found = F.when(F.regexp_count(prepared, F.lit(ANY)) > 1, apart(every)).otherwise(spans(ANY))
+    return F.transform(found, lambda x: _fields(x["raw"], x["start"]))
 
 
 def find_citations(text: Column) -> Column:

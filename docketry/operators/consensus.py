@@ -82,11 +82,11 @@ def verify(cases: DataFrame, records: DataFrame) -> DataFrame:
     field_diffs = F.array_compact(F.array(
         diff(F.size(days) > 1, "decision_date", dates),
         diff(off_year, "year", F.map_concat(dates, F.create_map(F.lit("our_table"), F.col("year").cast("string")))),
-        diff(benches_differ, "judges", names),
+        diff(benches_differ, "bench", names),
         diff(strength, "bench_strength", F.map_concat(sizes, F.create_map(F.lit("our_table"), F.col("bench_strength").cast("string")))),
     ))
     differences = F.concat(field_diffs, F.coalesce("cit_diffs", F.expr("cast(array() as array<struct<field:string,values:map<string,string>>>)")))
-    checked = F.concat(F.array_compact(F.array(F.when(F.size("dated") >= 2, F.lit("decision_date")), F.when(F.size("benches") >= 2, F.lit("judges")))), F.coalesce("cit_checked", none))
+    checked = F.concat(F.array_compact(F.array(F.lit("title"), F.when(F.size("dated") >= 2, F.lit("decision_date")), F.when(F.size("benches") >= 2, F.lit("bench")))), F.coalesce("cit_checked", none))
     reasons = F.concat(F.transform(differences, lambda d: F.concat(F.lit("sources differ on "), d["field"])), F.when(F.size("dated") < 2, F.array(F.lit("fewer than two sources give a date"))).otherwise(none), F.coalesce("cit_reasons", none))
     full = full.withColumns({"gate": gate, "differences": differences, "checked": checked, "why": reasons})
     status = F.when(F.col("gate").isNotNull(), "could_not_verify").when(F.size("why") > 0, "partly_verified").otherwise("verified")

@@ -119,7 +119,7 @@ def resolve_names(queries: DataFrame, cases: DataFrame) -> DataFrame:
     note = F.when(F.col("off_year"), F.array(F.lit("the year given is not the year of this case"))).otherwise(F.array().cast("array<string>"))
     kept = ranked.withColumn("status", status).where(shown)
     out = kept.groupBy("query_id", "status").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", note.alias("notes")))).alias("c"))
-    out = out.withColumn("candidates", F.transform("c", lambda x: F.struct(x["id"].alias("case_id"), x["score"].alias("score"), x["notes"].alias("notes")))).drop("c")
+    out = out.withColumn("candidates", F.transform("c", lambda x: F.struct(x["id"].alias("case_id"), F.round(x["score"], 3).alias("score"), x["notes"].alias("notes")))).drop("c")
     return queries.select("query_id").join(out, "query_id", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
 
 

@@ -134,8 +134,8 @@ def check_claims(claims: DataFrame, paragraphs: DataFrame, subject: DataFrame |
 
     quotes = live.select("claim_id", "doc_id", "joined", F.posexplode(T.quotations(F.col("text"))).alias("pos", "quote"))
     lost = quotes.where(~F.exists("joined", lambda p: T.quote_in(F.col("quote"), p)))
-    elsewhere = lost.join(paras, "doc_id").where(T.quote_in(F.col("quote"), F.col("passage"))).groupBy("claim_id", "pos").agg(F.min("ordinal").alias("other"))
-    said = F.when(F.col("other").isNull(), F.lit("quotation not found")).otherwise(F.concat(F.lit("quotation is in paragraph "), F.col("other").cast("string")))
+    elsewhere = lost.join(paras, "doc_id").where(T.quote_in(F.col("quote"), F.col("passage"))).groupBy("claim_id", "pos").agg(F.array_join(F.array_sort(F.collect_set("ordinal")), ", ").alias("other"))
+    said = F.when(F.col("other").isNull(), F.lit("quotation not found")).otherwise(F.concat(F.lit("quotation is in paragraph "), F.col("other")))
     p1 = lost.join(elsewhere, ["claim_id", "pos"], "left").select("claim_id", F.lit(1).alias("check"), "pos", F.concat(said, F.lit(": "), F.col("quote")).alias("problem"))
 
     claimed = live.select("claim_id", "doc_id", F.posexplode(C.find_citations(F.col("text"))).alias("pos", "c")).select("claim_id", "doc_id", "pos", C.canonical(F.col("c")).alias("canonical"))
@@ -145,7 +145,7 @@ def check_claims(claims: DataFrame, paragraphs: DataFrame, subject: DataFrame |
         claimed = claimed.join(own, ["doc_id", "canonical"], "left_anti")
     p2 = claimed.join(there, ["claim_id", "canonical"], "left_anti").select("claim_id", F.lit(2).alias("check"), "pos", F.concat(F.lit("citation not in the cited paragraphs: "), F.col("canonical")).alias("problem"))
 
-    named = live.select("claim_id", "doc_id", F.array_join("passages", " ").alias("all"), case_names(F.col("text")).alias("n")).select("claim_id", "doc_id", "all", F.posexplode("n").alias("pos", "name"))
+    named = live.select("claim_id", "doc_id", F.array_join("passages", " ").alias("all"), case_names(T.normalize_for_quotes(F.col("text"))).alias("n")).select("claim_id", "doc_id", "all", F.posexplode("n").alias("pos", "name"))
     if subject is not None:
         named = named.join(subject.select("doc_id", F.col("names").alias("own_names")), "doc_id", "left").where(~F.coalesce(F.exists("own_names", lambda n: T.titles_match(n, F.col("name"))), F.lit(False))).drop("own_names")
     grounded = T.coverage(T.distinctive_tokens(F.col("name")), T.distinctive_tokens(F.col("all")), NAME_MATCH) >= NAME_COVERAGE

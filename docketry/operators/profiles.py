@@ -25,25 +25,24 @@ PART = 1000
 def line_overlap(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, shared, similarity): documents that share lines, by the multiset of their lines.
 
-    The similarity is 2 * shared / (lines of a + lines of b). Documents with equal lines are one class, whose first
-    stands for all in the comparison; a line of many documents is dealt into parts, so no task makes all its pairs.
+    The similarity is 2 * shared / (lines of a + lines of b). Documents with equal lines are one class, for which its
+    smallest id stands: there is a row for every two classes that share enough lines, whatever the lines' numbers of
+    documents, and one for each class and each of its other documents (with similarity 1). A line of many classes is
+    dealt into parts, so no task makes all its pairs.
     """
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.filter(F.split(text_col, "\n"), lambda x: x != "").alias("lines"))
     whole = lines.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines")).where(F.size("lines") > 0)
     keyed = whole.withColumn("key", F.sha2(F.array_join("lines", "\n"), 256))
-    classes = keyed.groupBy("key").agg(F.min("id").alias("class"), F.first("lines").alias("lines"))
-    members = keyed.select("id", "key").join(classes.select("key", "class", F.size("lines").cast("long").alias("total")), "key").select("id", "class", "total")
-    counts = classes.select("class", F.explode("lines").alias("line")).groupBy("class", "line").agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.groupBy("line").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("line", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    some = counts.join(parts, "line")
-    x = some.select("line", F.col("class").alias("x"), F.col("n").alias("n_x"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
-    y = some.select("line", F.col("class").alias("y"), F.col("n").alias("n_y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    shared = x.join(y, ["line", "part"]).where("x < y").groupBy("x", "y").agg(F.sum(F.least("n_x", "n_y")).alias("shared")).where(F.col("shared") >= least_lines)
-    end = lambda c, i: members.select(F.col("class").alias(c), F.col("id").alias(i), F.col("total").alias(f"t_{i}"))
-    apart = shared.join(end("x", "i"), "x").join(end("y", "j"), "y").select("i", "j", "shared", "t_i", "t_j")
-    alike = end("x", "i").join(end("x", "j"), "x").where((F.col("i") < F.col("j")) & (F.col("t_i") >= least_lines)).select("i", "j", F.col("t_i").alias("shared"), "t_i", "t_j")
-    similarity = 2 * F.col("shared") / (F.col("t_i") + F.col("t_j"))
-    return apart.unionByName(alike).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", similarity.alias("similarity"))
+    classes = keyed.groupBy("key").agg(F.min("id").alias("class"), F.first("lines").alias("lines")).withColumn("total", F.size("lines").cast("long"))
+    counts = classes.select("class", "total", F.explode("lines").alias("line")).groupBy("class", "total", F.xxhash64("line", F.lit(1)).alias("h"), F.xxhash64("line", F.lit(2)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "g", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    some = counts.join(parts, ["h", "g"])
+    x = some.select("h", "g", F.col("class").alias("a"), F.col("total").alias("t_a"), F.col("n").alias("n_a"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
+    y = some.select("h", "g", F.col("class").alias("b"), F.col("total").alias("t_b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    shared = x.join(y, ["h", "g", "part"]).where("a < b").groupBy("a", "b", "t_a", "t_b").agg(F.sum(F.least("n_a", "n_b")).alias("shared")).where(F.col("shared") >= least_lines)
+    apart = shared.select("a", "b", "shared", (2 * F.col("shared") / (F.col("t_a") + F.col("t_b"))).alias("similarity"))
+    copies = keyed.select("id", "key").join(classes.select("key", "class", "total"), "key").where((F.col("id") > F.col("class")) & (F.col("total") >= least_lines))
+    return apart.unionByName(copies.select(F.col("class").alias("a"), F.col("id").alias("b"), F.col("total").alias("shared"), F.lit(1.0).alias("similarity")))
 
 
 def mode_first(rows: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from docketry.functions import citations as C
 from docketry.functions import text as T
-from docketry.operators import citator, constraints, entities, evals, grounding, layout, profiles, similarity
+from docketry.operators import citator, constraints, entities, evals, grounding, layout, profiles, segment, similarity
 from docketry.plans import literals
-from docketry.session import ship, table
+from docketry.session import shared_folder, ship, table
+from docketry.sources.tables import json_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,15 +204,31 @@ def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n_queries"))
 
 
-@query("""with o as (select o_custkey, list(distinct o_orderstatus order by o_orderstatus) as s, count(*) as n from orders group by o_custkey)
-select c_custkey, case when n is null then 'not_found' when len(s) > 1 then 'ambiguous' else 'resolved' end as status, coalesce(array_to_string(s, ','), '') as found, coalesce(n, 0)::bigint as n_refs
-from customer left join o on c_custkey = o_custkey""")
+def _cited_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the parts as cases, each with a citation that its key makes."""
+    rows = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").withColumn("year", (1960 + F.col("p_partkey") % 50).cast("int"))
+    none = F.lit(None)
+    return rows.select(F.col("p_partkey").alias("case_ord"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), "year", none.cast("array<string>").alias("aliases"), F.array(F.format_string("AIR %d SC %d", "year", "p_partkey")).alias("citations"), F.lit(0).alias("cited_by_count"))
+
+
+def _citing_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order, a query that cites the parts of its first two lines, in several spellings."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_partkey > 0")
+    cited = F.format_string("A.I.R.  %d SC %d", F.lit(1960) + F.col("l_partkey") % 50, "l_partkey")
+    lines = lines.select(F.col("l_orderkey").cast("string").alias("query_id"), F.struct("l_linenumber", "l_partkey", cited.alias("c")).alias("s"))
+    return lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["c"]), "; ").alias("query"))
+
+
+@query("""with l as (select l_orderkey::varchar as query_id, l_linenumber as line, l_partkey as k from lineitem where l_linenumber <= 2 and l_partkey > 0),
+c as (select l.*, p_partkey as id from l left join part on p_partkey = k and p_partkey % 3 <> 0),
+i as (select query_id, id, row_number() over (partition by query_id order by min(line), id) as pos from c where id is not null group by query_id, id),
+n as (select query_id, count(*) as n, string_agg(id::varchar, ',' order by pos) as ids from i group by query_id),
+u as (select query_id, bool_or(id is null) as unknown from c group by query_id)
+select u.query_id, case when n is null then 'not_found' when n > 1 then 'ambiguous' when unknown then 'suggestions' else 'resolved' end as status, coalesce(ids, '') as found from u left join n on u.query_id = n.query_id""")
 def citation_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to entities, exploded, joined by key and decided per query in order of rules."""
-    refs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("s"), F.count(F.lit(1)).alias("n"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey").join(refs, F.col("c_custkey") == F.col("o_custkey"), "left")
-    status = F.when(F.col("n").isNull(), "not_found").when(F.size("s") > 1, "ambiguous").otherwise("resolved")
-    return rows.select("c_custkey", status.alias("status"), F.coalesce(F.array_join("s", ","), F.lit("")).alias("found"), F.coalesce("n", F.lit(0)).alias("n_refs"))
+    """Queries that hold citations, scanned, canonicalised and looked up, decided per query in order of rules."""
+    out = entities.resolve(entities.accepted(_citing_orders(spark, sf_dir)), _cited_parts(spark, sf_dir), TODAY)
+    return out.select("query_id", "status", F.array_join(F.transform("candidates", lambda c: c["case_id"]), ",").alias("found"))
 
 
 @query(literals.values_sql(literals.CITATIONS, ["text", "canonical", "reporter_key", "issues"]))
@@ -258,12 +275,24 @@ def field_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.field_agreement(_witnesses(spark, sf_dir), "text_key", "source", "lang", "doc_id")
 
 
-@query(f"""with g as (select text_key, count(distinct source) as origins, bool_or(source = 'src0') as official, count(distinct lang) as langs, count(distinct n_chars) as sizes, count(*) as n from ({_COPIES}) group by text_key)
-select text_key, n as n_records, case when origins < 2 or not official then 'could_not_verify' when langs > 1 or sizes > 1 then 'partly_verified' else 'verified' end as status from g""")
+@query("""with r as (select l_orderkey::varchar as case_id, l_suppkey % 3 as origin, date_trunc('year', l_shipdate)::date as d from lineitem where l_linenumber <= 3),
+g as (select case_id, count(distinct origin) as origins, bool_or(origin = 0) as official, count(distinct d) as days, bool_and(year(d) <> 1998) as off_year from r group by case_id),
+o as (select o_orderkey::varchar as case_id from orders)
+select o.case_id, case when origins is null or origins < 2 or not official then 'could_not_verify' when days > 1 or off_year then 'partly_verified' else 'verified' end as status,
+case when origins is null then 'no source has this case' when origins < 2 then 'fewer than two independent sources' when not official then 'no official source'
+  else concat_ws('; ', case when days > 1 then 'sources differ on decision_date' end, case when off_year then 'sources differ on year' end) end as reasons,
+case when origins >= 2 and official then 'title,decision_date' else '' end as checked from o left join g on o.case_id = g.case_id""")
 def verify_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _witnesses(spark, sf_dir).groupBy("text_key").agg(F.count_distinct("source").alias("origins"), F.bool_or(F.col("source") == "src0").alias("official"), F.count_distinct("lang").alias("langs"), F.count_distinct("n_chars").alias("sizes"), F.count(F.lit(1)).alias("n_records"))
-    status = F.when((F.col("origins") < 2) | ~F.col("official"), "could_not_verify").when((F.col("langs") > 1) | (F.col("sizes") > 1), "partly_verified").otherwise("verified")
-    return rows.select("text_key", "n_records", status.alias("status"))
+    """Orders as cases of 1998, and their first lines as what several sources say of them."""
+    from docketry.operators import consensus
+
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    strings = F.lit(None).cast("array<string>")
+    cases = orders.select(F.col("o_orderkey").cast("string").alias("case_id"), F.lit("Harbour Works").alias("title"), strings.alias("aliases"), F.lit(1998).alias("year"), F.lit(None).cast("int").alias("bench_strength"), strings.alias("citations"))
+    origin = F.col("l_suppkey") % 3
+    records = lines.select(F.col("l_orderkey").cast("string").alias("case_id"), F.col("l_linenumber").alias("rec_ord"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("source"), origin.cast("string").alias("origin"), (origin == 0).alias("official"), F.lit("HARBOUR WORKS LTD.").alias("title"), F.trunc("l_shipdate", "year").alias("decision_date"), strings.alias("judges"), strings.alias("citations"))
+    out = consensus.verify(cases, records)
+    return out.select("case_id", "status", F.array_join("reasons", "; ").alias("reasons"), F.array_join("checked", ",").alias("checked"))
 
 
 @query(literals.values_sql([(c, s, r) for c, s, r in literals.VERIFIED], ["case_id", "status", "reasons"]))
@@ -320,11 +349,19 @@ def percentile_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", layout.nearest_rank(F.col("v"), 0.1).alias("low"), layout.nearest_rank(F.col("v"), 0.9).alias("high"))
 
 
-@query(f"""with c as (select doc_id, length(raw) as len, count(*) as n, min(line_no) as first from ({_LINES}) group by all),
-r as (select *, row_number() over (partition by doc_id order by n desc, first) as k from c) select doc_id, len::int as mode, n as n_mode from r where k = 1""")
+@query(rf"""with l as (select source as doc_id, doc_id as page_no, line_no, {_CONTENT} as line from ({_LINES})), k as (select * from l where line <> ''),
+b as (select *, lag(line) over w as prev, line_no - coalesce(lag(line_no) over w, 0) - 1 as blanks from k window w as (partition by doc_id, page_no order by line_no)),
+e as (select *, regexp_replace(prev, '["”’'')\]]+$', '') as bare from b where prev is not null),
+r as (select * from e where not (regexp_matches(bare, '[.?!:;]$') and not regexp_matches(bare, '{layout.ABBREVIATION_END}'))),
+p1 as (select doc_id, page_no, blanks, count(*) as n, min(line_no) as first from r group by all),
+p2 as (select *, sum(n) over (partition by doc_id, page_no) as total, row_number() over (partition by doc_id, page_no order by n desc, first) as k from p1),
+d1 as (select doc_id, blanks, count(*) as n, min(page_no * 100000000::bigint + line_no) as first from r group by all),
+d2 as (select *, row_number() over (partition by doc_id order by n desc, first) as k from d1)
+select v.doc_id, v.page_no, coalesce(p2.blanks, d2.blanks, 0)::int as spacing from (select distinct doc_id, page_no from l) v
+left join p2 on p2.doc_id = v.doc_id and p2.page_no = v.page_no and p2.k = 1 and p2.total >= 4 left join d2 on d2.doc_id = v.doc_id and d2.k = 1""")
 def modal_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).select(F.col("page_no").alias("doc_id"), "line_no", F.length("raw").alias("len"))
-    return profiles.mode_first(rows, ["doc_id"], "len", F.col("line_no"))
+    out = layout.modal_spacing(_lines(spark, sf_dir))
+    return out.select("doc_id", "page_no", F.col("spacing").cast("int").alias("spacing"))
 
 
 _EDGE_PUNCTUATION = r"""[.,;:!?"''“”‘’()\[\]{}*]+"""
@@ -357,10 +394,18 @@ def hyphen_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("doc_id", "word", *(F.coalesce(f"n_{p}", F.lit(0)).alias(f"n_{p}") for p in ("joined", "head", "tail")))
 
 
-@query(f"select doc_id, line_no::int as line_no, {_CONTENT} as line from ({_LINES}) where length({_CONTENT}) <= 80 and regexp_full_match({_CONTENT}, '[A-Z][A-Z0-9 ,&()/:;-]*[A-Z0-9)?-]')")
+_CAPS, _LETTERED = (p.pattern.replace("'", "''") for p in (segment.CAPS, segment.LETTERED))
+
+
+@query(f"""with b as (select doc_id, line_no, trim(substr(regexp_replace({_CONTENT}, '[.,;:]+|[^ -~]+', '', 'g'), 1, 70)) as line from ({_LINES})),
+l as (select doc_id, line_no, case when line_no % 3 = 0 then upper(line) when line_no % 3 = 1 then '(' || chr((97 + line_no % 26)::int) || ') ' || line else line end as line from b)
+select doc_id, line_no::int as line_no, line from l where (length(line) <= 80 and regexp_full_match(line, '{_CAPS}')) or regexp_full_match(line, '{_LETTERED}')""")
 def caps_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).select(F.col("page_no").alias("doc_id"), "line_no", layout.content(F.col("raw")).alias("line"))
-    return rows.where((F.length("line") <= 80) & F.col("line").rlike("^[A-Z][A-Z0-9 ,&()/:;-]*[A-Z0-9)?-]$"))
+    """The beginnings of the documents' lines, a third in capitals and a third lettered: those that are headings."""
+    line, number = F.trim(F.substring(F.regexp_replace(layout.content(F.col("raw")), "[.,;:]+|[^ -~]+", ""), 1, 70)), F.col("line_no")
+    made = F.when(number % 3 == 0, F.upper(line)).when(number % 3 == 1, F.concat(F.lit("("), F.chr(97 + number % 26), F.lit(") "), line)).otherwise(line)
+    rows = _lines(spark, sf_dir).select(F.col("page_no").alias("doc_id"), "line_no", made.alias("line"))
+    return rows.where(segment.heading(F.col("line")))
 
 
 @query(f"""with l as (select doc_id, line_no, {_CONTENT} as line from ({_LINES}))
@@ -376,9 +421,20 @@ def paragraph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paragraphs(layout.page_lines(docs))
 
 
-@query()
+def _cleaned_sql(text: str) -> str:
+    for old, new in (layout.LIGATURES | layout.DASH_ESCAPES).items():
+        text = f"replace({text}, '{old}', '{new}')"
+    return f"regexp_replace({text}, '{layout.CONTROL}', '', 'g')"
+
+
+@query(f"""with t as (select doc_id, string_split({_cleaned_sql("replace(replace(replace(text, '. ', '.' || chr(12)), chr(13) || chr(10), chr(10)), chr(13), chr(10))")}, chr(12)) as pages from documents),
+p as (select doc_id, unnest(pages) as page, generate_subscripts(pages, 1) as page_no from t),
+l as (select doc_id, page_no, string_split(page, chr(10)) as lines from p)
+select doc_id, page_no::int as page_no, generate_subscripts(lines, 1)::int as line_no, unnest(lines) as raw from l""")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.html_lines(table(spark, sf_dir, "pages"))
+    """The documents as if a form feed stood behind each sentence."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\f")))
+    return layout.page_lines(docs)
 
 
 # Grounding
@@ -411,20 +467,36 @@ def quote_in_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("id").join(counts, "id", "left").select(F.col("id").alias("item_id"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
-@query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+@query("select d.doc_id, case when d.text is null or trim(d.text) = '' then 'the claim is empty' else 'no such paragraph: ' || d.doc_id end as problem from documents d where trim(coalesce(d.text, '')) = '' or d.doc_id not in (select doc_id from labels where doc_id is not null)")
 def claim_missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    """Documents as claims, each citing the paragraph of its own number; labels are the paragraphs there are."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    claims = docs.select(F.col("doc_id").alias("claim_id"), F.lit(1).alias("doc_id"), F.lit("facts").alias("section"), F.when(F.trim("text") != "", "said so").alias("text"), F.array("doc_id").alias("paragraphs"))
+    paragraphs = labels.select(F.lit(1).alias("doc_id"), F.col("doc_id").alias("ordinal"), F.lit("").alias("text")).distinct()
+    out = grounding.check_claims(claims, paragraphs).where(~F.col("kept"))
+    return out.select(F.col("claim_id").alias("doc_id"), F.array_join("problems", "; ").alias("problem"))
+
+
+_CHECKED_TURNS = "select case role when 'user' then 'facts' when 'assistant' then 'holding' else role end as section, length(text) > 60 as kept, turn % 2 = 1 as flagged from conversations"
+_SECTIONS = ", ".join(f"('{s}', {i})" for i, s in enumerate(grounding.SECTIONS))
+_SECTION_COUNTS = f"""with c as (select section, count(case when kept then 1 end) as kept, count(case when not kept then 1 end) as dropped, count(case when flagged then 1 end) as flagged from ({_CHECKED_TURNS}) group by section)
+select coalesce(s.section, c.section) as section, coalesce(s.i, {len(grounding.SECTIONS)})::int as section_ord, coalesce(kept, 0)::bigint as kept, coalesce(dropped, 0)::bigint as dropped, coalesce(flagged, 0)::bigint as flagged, coalesce(kept, 0) = 0 as empty
+from (values {_SECTIONS}) s(section, i) full join c on c.section = s.section"""
+
 
+def _checked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    section = F.when(F.col("role") == "user", "facts").when(F.col("role") == "assistant", "holding").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").select(section.alias("section"), (F.length("text") > 60).alias("kept"), F.when(F.col("turn") % 2 == 1, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>")).alias("flags"))
 
-@query("select role, count(*) as n_turns, count(distinct conv_id) as n_conversations from conversations group by role")
+
+@query(_SECTION_COUNTS)
 def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n_turns"), F.count_distinct("conv_id").alias("n_conversations"))
+    return grounding.section_counts(_checked_turns(spark, sf_dir))
 
 
-@query("""select s.role from (values ('system'), ('user'), ('assistant'), ('tool'), ('critic')) s(role) where not exists (select 1 from conversations c where c.role = s.role and length(c.text) > 0)""")
+@query(f"select section from ({_SECTION_COUNTS}) where empty")
 def empty_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.createDataFrame([(r,) for r in ("system", "user", "assistant", "tool", "critic")], "role string")
-    return wanted.join(table(spark, sf_dir, "conversations").where(F.length("text") > 0), "role", "left_anti")
+    return grounding.section_counts(_checked_turns(spark, sf_dir)).where("empty").select("section")
 
 
 @query(literals.values_sql(literals.CHECKED, ["claim_id", "problems", "flags", "kept"]))
@@ -465,12 +537,20 @@ def range_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.range_violations(table(spark, sf_dir, "lineitem"), "l_discount", 0, 0.08).select("l_orderkey", "l_linenumber", "l_discount")
 
 
-@query("""with l as (select l_orderkey, count(*) as n_lines, max(l_linenumber) as top from lineitem group by l_orderkey)
-select o_orderkey, coalesce(n_lines, 0)::bigint as n_lines, top::int as last_line from orders left join l on o_orderkey = l_orderkey where n_lines is null or n_lines <> top""")
+@query("""with c as (select p_name as slug, p_size - 5 as strength, p_size % 3 = 0 as verified, p_size % 2 = 0 as timed, p_size % 7 as judges from part),
+e as (select n_nationkey as a, (n_nationkey * 7 + 3) % 25 as b, n_nationkey / 20.0 as confidence, n_nationkey % 4 = 0 as reviewed, n_nationkey % 8 = 0 as signed from nation),
+v as (select 'cases' as "table", 'unique(slug)' as rule, count(*) as n from (select slug from c group by slug having count(*) > 1)
+union all select 'cases', 'bench_strength_positive', count(*) from c where strength <= 0 union all select 'cases', 'verified_has_time', count(*) from c where verified and not timed
+union all select 'cases', 'judges_fit_bench', count(*) from c where judges <> strength union all select 'citing_edges', 'no_self_loop', count(*) from e where a = b
+union all select 'citing_edges', 'confidence_range', count(*) from e where confidence not between 0 and 1 union all select 'citing_edges', 'reviewed_has_reviewer', count(*) from e where reviewed and not signed)
+select "table", rule, n from v where n > 0""")
 def cardinality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.max("l_linenumber").alias("last_line"))
-    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.where("n_lines is null or n_lines <> last_line").select("o_orderkey", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "last_line")
+    """The persistent model's rules, over parts as cases and nations as edges."""
+    size = F.col("p_size")
+    cases = table(spark, sf_dir, "part").select(F.col("p_name").alias("slug"), (size - 5).alias("bench_strength"), F.when(size % 3 == 0, "verified").otherwise("seed").alias("verification_status"), F.when(size % 2 == 0, F.lit("2024-01-01")).alias("verified_at"), F.array_repeat(F.lit("a"), size % 7).alias("judges"))
+    n = F.col("n_nationkey")
+    edges = table(spark, sf_dir, "nation").select(n.alias("citing_case_id"), ((n * 7 + 3) % 25).alias("cited_case_id"), (n / 20.0).alias("confidence"), F.when(n % 4 == 0, "reviewed").otherwise("new").alias("review_status"), F.when(n % 8 == 0, F.lit("x")).alias("reviewed_by"))
+    return constraints.violations({"cases": cases, "citing_edges": edges})
 
 
 @query("select c_custkey, case when c_nationkey % 5 = 0 then null else c_nationkey end::int as c_nationkey from customer")
@@ -525,11 +605,13 @@ def copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.copies(table(spark, sf_dir, "documents"))
 
 
-@query("""with l as (select id, line, count(*) as n from (select doc_id as id, unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by id, line),
-t as (select id, sum(n) as total from l group by id), k as (select line from l group by line having count(*) between 2 and 100),
-p as (select distinct x.id as a, y.id as b from l x join l y on x.line = y.line and x.id < y.id where x.line in (select line from k)),
-s as (select a, b, sum(least(x.n, y.n)) as shared from p join l x on x.id = a join l y on y.id = b and y.line = x.line group by a, b)
-select a, b, shared::bigint as shared, 2 * shared / (u.total + v.total) as similarity from s join t u on u.id = a join t v on v.id = b where shared >= 2""")
+@query("""with w as (select doc_id as id, list_sort(list_filter(string_split(text, chr(10)), lambda x: x <> '')) as lines from documents where text is not null),
+m as (select id, lines, min(id) over (partition by lines) as class from w where len(lines) > 0),
+l as (select id, line, count(*) as n from (select id, unnest(lines) as line from m where id = class) group by id, line),
+t as (select id, sum(n) as total from l group by id),
+s as (select x.id as a, y.id as b, sum(least(x.n, y.n)) as shared from l x join l y on x.line = y.line and x.id < y.id group by x.id, y.id)
+select a, b, shared::bigint as shared, 2 * shared / (u.total + v.total) as similarity from s join t u on u.id = a join t v on v.id = b where shared >= 2
+union all select class, id, len(lines)::bigint, 1.0::double from m where id > class and len(lines) >= 2""")
 def copy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.line_overlap(table(spark, sf_dir, "documents"))
 
@@ -537,7 +619,7 @@ def copy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select n_nationkey, '{"nation":"' || n_name || '","region":"' || r_name || '"}' as json from nation join region on n_regionkey = r_regionkey""")
 def json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region"))).alias("json"))
+    return json_rows(rows.select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region")), "n_nationkey")
 
 
 # Segmentation and page furniture of literal documents
@@ -573,8 +655,7 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from docketry.streaming import documents
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{base.rstrip('/')}/docketry-stream-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/docketry-stream-{uuid.uuid4().hex[:12]}"
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     stream = stream.withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
@@ -582,31 +663,25 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("sha string").parquet(f"{path}/out")
 
 
-def _own_folder() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="docketry-stream-")
-
-
-def _cleaned(rows: DataFrame, n: int) -> DataFrame:
-    return rows.select("doc_id", F.substring("body", 1, n).alias("body"), "trailer", F.array_join("footnotes", "|").alias("footnotes"), F.array_join("warnings", "|").alias("warnings"))
+def _cleaned(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "body", "trailer", F.array_join("footnotes", "|").alias("footnotes"), F.array_join("warnings", "|").alias("warnings"))
 
 
 _CLEANED = ["doc_id", "body", "trailer", "footnotes", "warnings"]
 
 
-@query(literals.values_sql([(d, b[:26], *r) for d, b, *r in literals.CLEANED_REPORT], _CLEANED))
+@query(literals.values_sql(literals.CLEANED_REPORT, _CLEANED))
 def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.operators import cleaning
 
     ship(spark)
-    return _cleaned(cleaning.clean_report(spark.createDataFrame([("r", literals.REPORT_PAGES)], "doc_id string, text string")), 26)
+    return _cleaned(cleaning.clean_report(spark.createDataFrame([("r", literals.REPORT_PAGES)], "doc_id string, text string")))
 
 
-@query(literals.values_sql([(d, b[:26], *r) for d, b, *r in literals.CLEANED], _CLEANED))
+@query(literals.values_sql(literals.CLEANED, _CLEANED))
 def clean_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.operators import cleaning
 
     ship(spark)
     docs = spark.createDataFrame([("a", literals.ARCHIVE), ("s", literals.SIGNED)], "doc_id string, text string")
-    return _cleaned(cleaning.clean_site(docs), 26)
+    return _cleaned(cleaning.clean_site(docs))

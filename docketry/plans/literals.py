@@ -231,7 +231,7 @@ ARCHIVE = "http://JUDIS.NIC.IN    SUPREME COURT OF INDIA\nPETITIONER:\nLAL CHAND
 
 #: document, first words of the body, trailer, footnotes, warnings
 CLEANED = [
-    ("a", "The petitioner owns a mill", "Petition dismissed.\nV. P. S.", "(1) [1957] 31 I.T.R. 826.", ""),
-    ("s", "JUDGMENT\n\n1. The petitioner owns a", "ITEM NO.5\nRECORD OF PROCEEDINGS\nThe court met.", "1 AIR 1981 SC 90.", ""),
+    ("a", "The petitioner owns a mill beside the river, and he works there.\n\nIt was closed, and no reason was given to him at any time.", "Petition dismissed.\nV. P. S.", "(1) [1957] 31 I.T.R. 826.", ""),
+    ("s", "JUDGMENT\n\n1. The petitioner owns a mill that lies at the river.\n\n2. The mill was closed.\n\nNew Delhi;\n\nJUDGMENT\n\nI agree.", "ITEM NO.5\nRECORD OF PROCEEDINGS\nThe court met.", "1 AIR 1981 SC 90.", ""),
 ]
-CLEANED_REPORT = [("r", "RAO, J.-The petitioner owns", "Petition allowed.\nAgent for the petitioner: A. B. Seth.", "(1) [1950] S.C.R. 605.", "")]
+CLEANED_REPORT = [("r", "RAO, J.-The petitioner owns a mill beside the river and he asks that it be opened again as soon as it can be. The mill was closed without a hearing and without any reason. The petition is allowed.", "Petition allowed.\nAgent for the petitioner: A. B. Seth.", "(1) [1950] S.C.R. 605.", "")]
