@@ -1,7 +1,7 @@
 """Near duplicates of embeddings by NN-descent.
 
-Vectors of one label are neighbours to be. Every vector begins with a few neighbours at random and from signed
-random projections; in each round, neighbours of neighbours (both ways) meet in the lists' joins and the best stay.
+Vectors of one label are neighbours to be. Every vector begins with the nearest ones in its buckets of signed random
+projections; in each round, neighbours of neighbours (both ways) meet in the lists' joins and the best stay.
 Equal vectors are one from the start and count as often as they occur. Lists that end up full of links are enlarged:
 vectors with full lists are compared exactly across components wherever a link is possible, and then the components
 they lie in block by block, so a vector may have any number of links. Recall is audited against exact neighbours of a
@@ -39,7 +39,7 @@ def usable(table: DataFrame, id_col: str, vector_col: str, label_col: str) -> Da
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(fine & finite).where(F.exists("v", lambda x: x != 0))
-    return rows.select("id", F.concat(F.size("v").cast("string"), F.lit("|"), "label").alias("label"), F.col("v").cast("array<double>") if "double" in dict(table.dtypes)[vector_col] else F.col("v").cast("array<float>").alias("v"))
+    return rows.select("id", F.concat(F.size("v").cast("string"), F.lit("|"), "label").alias("label"), F.col("v").cast("array<float>" if dict(table.dtypes)[vector_col] == "array<float>" else "array<double>").alias("v"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -281,12 +281,21 @@ def all_links(vectors: DataFrame, least: float) -> DataFrame:
     return map_groups(squares(vectors.select("label", "id", "v"), "label"), ["label", "i", "j"], forest, "a long, b long").distinct()
 
 
-def audit(vectors: DataFrame, found: DataFrame, least: float, sample: int = AUDIT) -> tuple[int, int]:
+def recall_of(vectors: DataFrame, found: DataFrame, least: float) -> float | None:
+    """Share of the audited vectors' links that `found` counts. Where none of the sample has links, vectors with links
+    are sampled instead; without any the recall is not known."""
+    there, got = audit(vectors, vectors, found, least)
+    if not there:
+        there, got = audit(vectors, vectors.join(found.where("n_links > 0").select("id"), "id", "left_semi"), found, least)
+    return got / there if there else None
+
+
+def audit(vectors: DataFrame, among: DataFrame, found: DataFrame, least: float, sample: int = AUDIT) -> tuple[int, int]:
     """Links that a few vectors have, compared exactly with all rows, and how many of them `found` counts.
 
-    The sample is about `sample` vectors chosen by a hash of their ids; it is collected and broadcast.
+    The sample is about `sample` vectors of `among`, chosen by a hash of their ids; it is collected and broadcast.
     """
-    asked = few_rows(vectors, sample, "id", "audit")
+    asked = few_rows(among.select("id", "label", "v"), sample, "id", "audit")
     if not asked:
         return 0, 0
     shared = vectors.sparkSession.sparkContext.broadcast([(r.id, r.label, [float(x) for x in r.v]) for r in asked])
@@ -320,7 +329,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Returns one row per input row: the id column (as long), n_links (other vectors linked directly), component_id
     (the smallest id reachable), kept (id = component_id) and audit_recall (share of the audited vectors' links that
-    were counted; 1 if they have none). Vectors that are null, empty, zero, or hold null or non-finite components,
+    were counted; null where no vector of either sample has any). Vectors that are null, empty, zero, or hold null or non-finite components,
     and rows with a null label or id, link with nothing; a row with a null id has a null component and is kept; rows
     that repeat an id count as one vector, the first in order of its components; other columns are ignored; an
     empty table gives no rows.
@@ -336,7 +345,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         own = own.select(F.col("id").alias("first"), F.coalesce("component", "id").alias("component"), (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
         return stored(members.join(own, "first").select("id", "component", "n_links"), "found")
 
-    edges, recall = None, 1.0
+    edges, recall = None, None
     for attempt in range(ATTEMPTS):
         start = first_lists(vectors, 17 + attempt, k)
         edges = descend(vectors, start if edges is None else start.unionByName(edges.select("a", "b", "sim")), k)
@@ -352,15 +361,13 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         ends = links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionAll(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
         plain = ends.join(vectors.select(F.col("id").alias("to"), "w"), "to").groupBy("id").agg(F.sum("w").alias("few"))
         found = found_of(linked, plain.join(counted, "id", "full").select("id", F.coalesce("n_links", "few").alias("n_links")))
-        there, got = audit(every, found.select("id", "n_links"), least)
-        recall = got / there if there else 1.0
-        if recall >= ENOUGH:
+        recall = recall_of(every, found.select("id", "n_links"), least)
+        if recall is None or recall >= ENOUGH:
             break
     else:
         linked = stored(components(all_links(vectors, least)), "linked").select(F.col("node").alias("id"), "component")
         found = found_of(linked, enlarged(vectors, linked, least))
-        there, got = audit(every, found.select("id", "n_links"), least)
-        recall = got / there if there else 1.0
+        recall = recall_of(every, found.select("id", "n_links"), least)
     rows = table.select(F.col(id_col).cast("long").alias("id"))
     out = rows.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"))
