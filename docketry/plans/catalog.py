@@ -585,7 +585,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""with recursive e as (select n_nationkey::varchar as a, ((n_nationkey * 7 + 3) % 25)::varchar as b from nation), r(src, dst, hops) as (select a, b, 1 from e union all select r.src, e.b, r.hops + 1 from r join e on r.dst = e.a where r.hops < 10)
+@query("""with recursive e as (select n_nationkey::varchar as a, ((n_nationkey * 7 + 3) % 25)::varchar as b from nation), r(src, dst, hops) as (select a, b, 1 from e union all select r.src, e.b, r.hops + 1 from r join e on r.dst = e.a where r.hops < 40)
 select src, dst, min(hops)::int as hops from r where src <> dst group by src, dst""")
 def edge_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b"))

@@ -256,3 +256,29 @@ def test_citations_in_documents_finds_all_written_forms(spark, tmp_path):
     want = {r.doc_id: r.n for r in docs.select("doc_id", F.size(find_citations(F.col("text"))).alias("n")).collect() if (r.n or 0) > 0}
     got = {r.doc_id: r.n_citations for r in catalog.citations_in_documents(spark, str(tmp_path)).collect()}
     assert got == want == {i: 1 for i in range(8)}
+
+
+def test_reachable_has_no_longest_way(spark):
+    from docketry.operators import citator
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(14)] + [(3, 0), (20, 20)], "a int, b int")
+    got = {(int(r.src), int(r.dst)): r.hops for r in citator.reachable(edges, "a", "b").collect()}
+    assert got[0, 14] == 14 and got[2, 0] == 2 and (20, 20) not in got and (5, 4) not in got
+
+
+def test_scalars_by_name(spark):
+    from docketry.functions import registry
+
+    rows = spark.createDataFrame([("Ram Lal v. State of Bihar, 1950 SCR 605",)], "t string")
+    for name in ("case_names", "find_citations", "normalize_title"):
+        rows = registry.with_scalar(rows, name, "t", alias=name)
+    r = rows.first()
+    assert r.case_names == ["Ram Lal v. State of Bihar"] and [c.canonical for c in r.find_citations] and r.normalize_title.startswith("ram lal")
+
+
+def test_a_citation_that_begins_inside_another_is_left(spark):
+    from docketry.functions import citations
+
+    rows = spark.createDataFrame([("AIR 1973 SC 1461 5 SCC 2250 3 SCC 7",), ("AIR 1973 SC 1461 and (1973) 4 SCC 225",)], "t string")
+    got = [[c.raw for c in r.c] for r in rows.select(citations.find_citations(F.col("t")).alias("c")).collect()]
+    assert got == [["AIR 1973 SC 1461"], ["AIR 1973 SC 1461", "(1973) 4 SCC 225"]]
