@@ -60,7 +60,7 @@ def report_footnotes(lines: DataFrame) -> DataFrame:
     return kept.withColumn("note", F.coalesce(F.col("from_top") >= start, F.lit(False))).select("doc_id", "page_no", "line_no", "raw", "line", "note")
 
 
-def _assembled(rows: DataFrame, marks: DataFrame, notes: DataFrame, docs: DataFrame) -> DataFrame:
+def _assembled(rows: DataFrame, marks: DataFrame, notes: DataFrame, docs: DataFrame, outline: Column | None = None) -> DataFrame:
     """header, body (paragraphs parted by blank lines), trailer, footnotes, warnings.
 
     rows: numbered content lines; marks: doc_id, header_end, body_start, body_end (a line's number or null), warnings.
@@ -70,7 +70,7 @@ def _assembled(rows: DataFrame, marks: DataFrame, notes: DataFrame, docs: DataFr
     ends = F.coalesce("body_end", F.lit(1 << 30))
     texts = placed.groupBy("doc_id").agg(joined(F.col("at") < F.col("header_end")).alias("header"), joined(F.col("at") >= ends).alias("trailer"))
     body = placed.where((F.col("at") >= F.col("body_start")) & (F.col("at") < ends)).select("doc_id", "page_no", "line_no", "raw")
-    paras = layout.paragraphs(body, alone=f"{HEADING}|{PLACE}").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+    paras = layout.paragraphs(body, alone=f"{HEADING}|{PLACE}", outline=outline).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
     out = docs.select("doc_id").distinct().join(marks.select("doc_id", "warnings"), "doc_id", "left").join(texts, "doc_id", "left").join(paras, "doc_id", "left").join(notes, "doc_id", "left")
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     none = F.array().cast("array<string>")
@@ -185,11 +185,29 @@ def drop_cover_pages(rows: DataFrame) -> DataFrame:
     return rows.join(gone, ["doc_id", "at"], "left_anti")
 
 
+# How a preamble says who delivered judgments, and an author printed in lower case.
+ANNOUNCED = r"(?i)(?:was|were)\s+delivered\s+by|delivered\s+(?:a\s+)?(?:separate|seperate|dissenting)"
+TITLE_CASE_AUTHOR = r"^\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}),\s*(?:C\.\s*J\.|J\.)\s+[A-Z]"
+PREAMBLE_LINES, AUTHOR_WITHIN = 40, 60
+
+
+def announced_authors(rows: DataFrame) -> DataFrame:
+    """Numbered lines in which an author's name in lower case is in capitals, where the document's first lines say that
+    judgments were delivered and name that author in capitals."""
+    first = rows.where(F.col("at") <= PREAMBLE_LINES).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("preamble"))
+    first = first.where(F.col("preamble").rlike(ANNOUNCED))
+    name = F.nullif(F.regexp_extract("raw", TITLE_CASE_AUTHOR, 1), F.lit(""))
+    told = F.coalesce(F.contains("preamble", F.concat(F.upper(name), F.lit(","))), F.lit(False))
+    capital = lambda c: F.when(told, F.replace(F.col(c), name, F.upper(name))).otherwise(F.col(c)).alias(c)
+    joined = rows.join(first, "doc_id", "left")
+    return joined.select(*(capital(c) if c in ("raw", "line") else F.col(c) for c in rows.columns))
+
+
 def clean_archive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Archive texts: banners out, cut tails put back, notes above lone page numbers taken out; the judgment begins behind
-    its mark and ends at a disposal line among the last six."""
+    its mark, or else at the first author's line, and ends at a disposal line among the last six."""
     lines = layout.page_lines(docs, id_col, text_col).where(~F.col("raw").rlike(ARCHIVE_HEAD))
-    rows = settled(_numbered(layout.merge_tails(settled(lines, "lines"))), "merged")
+    rows = settled(announced_authors(settled(_numbered(layout.merge_tails(settled(lines, "lines"))), "merged")), "announced")
     lone = F.col("line").rlike("^\\d{1,4}$")
     note = F.col("line").rlike("^\\(\\s*\\d{1,2}\\s*\\)\\s*\\S") & (F.col("line").rlike(CITATION_HINT) | F.col("line").rlike("^\\(\\s*\\d{1,2}\\s*\\).*\\d"))
     # Notes stand in an unbroken run above a lone number: the next line that is no note is one.
@@ -210,9 +228,10 @@ def clean_archive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     so_far = up.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"run": F.min(F.when(late & (disposal | initials), 1).otherwise(0)).over(so_far), "sure": F.max(F.when(sure, 1).otherwise(0)).over(so_far)})
     mark, end = F.min("mark"), _first((F.col("run") == 1) & (F.col("sure") == 1))
-    marks = rows.groupBy("doc_id").agg((mark + 1).alias("start"), end.alias("body_end"), F.min("at").alias("top"))
+    # Without a mark the judgment begins at the first author's line near the top.
+    marks = rows.withColumn("author", F.when((F.row_number().over(_doc()) <= AUTHOR_WITHIN) & F.col("line").rlike(AUTHOR_START), F.col("at"))).groupBy("doc_id").agg(F.coalesce(mark + 1, F.min("author")).alias("start"), end.alias("body_end"), F.min("at").alias("top"))
     marks = marks.select("doc_id", F.coalesce("start", "top").alias("header_end"), F.coalesce("start", "top").alias("body_start"), "body_end", _warned((F.col("start").isNull(), NO_START)).alias("warnings"))
-    return _assembled(rows.select("doc_id", "page_no", "line_no", "raw", "line", "at"), marks, notes, lines)
+    return _assembled(rows.select("doc_id", "page_no", "line_no", "raw", "line", "at"), marks, notes, lines, layout.by_outline(author=AUTHOR_START))
 
 
 def clean_site(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

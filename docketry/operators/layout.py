@@ -135,16 +135,36 @@ def ends_sentence(line: Column) -> Column:
     return bare.rlike("[.?!:;]$") & ~bare.rlike(ABBREVIATION_END)
 
 
-def paragraphs(lines: DataFrame, indent_by: int = 2, short: float = 0.8, alone: str | None = None) -> DataFrame:
+def by_outline(short: float = 0.8, author: str | None = None) -> Column:
+    """Whether a line begins a paragraph in a text whose quotations are indented blocks.
+
+    It does behind a blank line, behind a finished line that is short of the text's width, where it is indented further
+    than the line before and that is finished or short, and where it is indented less and that is finished or closes a
+    quotation, which is a block of lines indented alike; an author's line behind a finished one begins one too. Clauses
+    that end in a semicolon are not finished. For rows with line, indent, width, blanks and full, one document a window.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
+    before = lambda c, n=1: F.lag(c, n).over(order)
+    last, step = F.coalesce(before("line"), F.lit("")), F.col("indent") - before("indent")
+    done = ends_sentence(last) & ~last.rlike(";$")
+    little = (before("width") < before("full") * short) & (before("page_no") == F.col("page_no"))
+    block = F.coalesce((F.abs(before("indent") - before("indent", 2)) <= 1) & (before("indent") >= 4), F.lit(False))
+    out = before("line").isNull() | ((F.col("blanks") > 0) & (before("page_no") == F.col("page_no"))) | (done & little)
+    out = out | ((step >= 2) & (done | little)) | ((step <= -2) & (done | (block & last.rlike("[\"”’']$"))))
+    return out | (done & F.col("line").rlike(author)) if author is not None else out
+
+
+def paragraphs(lines: DataFrame, indent_by: int = 2, short: float = 0.8, alone: str | None = None, outline: Column | None = None) -> DataFrame:
     """(doc_id, paragraph, text, n_lines) from content lines (doc_id, page_no, line_no, raw).
 
     A paragraph begins behind a blank line, at a number with a dot, at an indented line behind a finished one, and
-    behind a finished line that is short of the page's width. Lines that match `alone` are paragraphs of their own. A word
-    hyphenated at a line's end is not joined here.
+    behind a finished line that is short of the page's width; or where `outline` says so, if it is given. Lines that
+    match `alone` are paragraphs of their own. A word hyphenated at a line's end is not joined here.
     """
     order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
     rows = blank_islands(lines).withColumns({"indent": indent(F.col("raw")), "width": F.length(F.rtrim("raw"))})
-    rows = rows.withColumn("full", F.max("width").over(Window.partitionBy("doc_id", "page_no")))
+    whole = ["doc_id"] if outline is not None else ["doc_id", "page_no"]
+    rows = rows.withColumn("full", F.max("width").over(Window.partitionBy(*whole)))
     before = lambda c: F.lag(c).over(order)
     finished = ends_sentence(F.coalesce(before("line"), F.lit(".")))
     starts = (
@@ -154,6 +174,7 @@ def paragraphs(lines: DataFrame, indent_by: int = 2, short: float = 0.8, alone:
         | (finished & (F.col("indent") >= before("indent") + indent_by))
         | (finished & (before("width") < before("full") * short))
     )
+    starts = starts if outline is None else outline
     if alone is not None:
         starts = starts | F.col("line").rlike(alone) | F.coalesce(before("line").rlike(alone), F.lit(False))
     rows = rows.withColumn("starts", F.when(starts, 1).otherwise(0))
