@@ -107,10 +107,23 @@ def descend(present: np.ndarray, labels: np.ndarray, rank: int = RANK, epochs: i
     return float(params[0][0]), params[1]
 
 
+def blocks(n: int, size: int = 512) -> Iterator[slice]:
+    return (slice(at, at + size) for at in range(0, n, size))
+
+
 def paired(present: np.ndarray, residuals: np.ndarray, least: float = PAIR_Z) -> np.ndarray:
-    """Columns that are in a pair whose texts' residuals sum to `least` standard errors or more."""
-    x, r = present.astype(np.float32), residuals.astype(np.float32)[:, None]
-    off = np.abs(x.T @ (r * x)) / np.sqrt(x.T @ (r * r * x) + 1)
+    """Columns that are in a pair whose texts' residuals sum to `least` standard errors or more.
+
+    Two matrices of PAIR_TERMS by PAIR_TERMS single-precision numbers are held, and a block of texts.
+    """
+    off, error = (np.zeros((present.shape[1],) * 2, np.float32) for _ in range(2))
+    for rows in blocks(len(present)):
+        x, r = present[rows].astype(np.float32), residuals[rows].astype(np.float32)[:, None]
+        off += x.T @ (r * x)
+        error += x.T @ (r * r * x)
+    error += 1
+    off /= np.sqrt(error, out=error)
+    np.abs(off, out=off)
     np.fill_diagonal(off, 0)
     return np.flatnonzero(off.max(1, initial=0) >= least)
 
@@ -124,7 +137,8 @@ def fit(terms: np.ndarray, present: np.ndarray, labels: np.ndarray, telling: np.
         return FactorizationMachine(np.zeros(0, np.uint32), prior, np.zeros(0), np.zeros((0, RANK)))
     single = np.flatnonzero(telling)
     bias, params = descend(present[:, single], labels, rank=0) if len(single) else (prior, np.zeros((0, 1), np.float32))
-    residuals = labels - sigmoid(bias + present[:, single].astype(np.float32) @ params[:, 0])
+    linear = np.concatenate([present[rows][:, single].astype(np.float32) @ params[:, 0] for rows in blocks(len(present))])
+    residuals = labels - sigmoid(bias + linear)
     often = np.flatnonzero(frequent)
     chosen = np.union1d(single, often[paired(present[:, often], residuals)])
     bias, params = descend(present[:, chosen], labels)
