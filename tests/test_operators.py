@@ -1,7 +1,9 @@
 """Operators against plain loops and small literal cases."""
 
 import datetime as dt
+import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,6 +248,38 @@ def test_line_overlap_of_frequent_lines_equals_brute_force(spark, monkeypatch):
     assert {(a, b, *x) for (a, b), x in pairs.items() if x} == want
 
 
+@pytest.mark.parametrize("part", [12, 40, 10_000])
+def test_line_overlap_in_blocks_equals_brute_force(spark, monkeypatch, part):
+    """Lines of all documents, of some and of two, in blocks of several sizes; ids are strings."""
+    r = random.Random(part)
+    monkeypatch.setattr(profiles, "PART", part)
+    texts = {f"d{i}": ["everywhere", *(f"often {r.randint(0, 9)}" for _ in range(r.choice([0, 0, 0, 1, 3]))), f"own {i}", f"two {i // 2}"] for i in range(150)}
+    texts |= {f"e{i}": ["everywhere", "everywhere", "", f"own {i // 9} e"] for i in range(30)} | {"n": [], "m": ["everywhere"]}
+    rows = profiles.line_overlap(spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "doc_id string, text string")).collect()
+    counted = {k: Counter(x for x in v if x) for k, v in texts.items()}
+    first = {k: min(x for x in counted if counted[x] == counted[k]) == k for k in counted}
+    want = {}
+    for a, b in itertools.combinations(sorted(counted), 2):
+        shared = (counted[a] & counted[b]).total()
+        if shared >= 2 and first[a] and (first[b] or counted[a] == counted[b]):
+            want[a, b] = (shared, 2 * shared / (counted[a].total() + counted[b].total()))
+    assert {(x.a, x.b): (x.shared, x.similarity) for x in rows} == want and len(rows) == len(want)
+
+
+def test_line_overlap_writes_no_pairs_under_two_lines(spark):
+    sc = spark.sparkContext
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    rows = spark.range(1500).selectExpr("id as doc_id", "concat('everywhere\n', if(id < 60, 'often\n', ''), 'own ', id) as text")
+    assert profiles.line_overlap(rows).count() == 60 * 59 // 2
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < 30_000  # there are 1,124,250 pairs
+
+
 def test_citations_in_documents_finds_all_written_forms(spark, tmp_path):
     from docketry.functions.citations import find_citations
     from docketry.plans import catalog
