@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docketry.functions import citations as C
 from docketry.functions import text as T
 from docketry.operators.similarity import word_join
+from docketry.session import settled
 
 NAME_WEIGHT, LEAST_NAME_COVERAGE = 0.3, 0.5
 LEAST_SCORE, MARGIN, SUGGESTED = 0.4, 0.1, 5
@@ -129,17 +130,17 @@ def resolve_citations(queries: DataFrame, cases: DataFrame, today: dt.date) -> D
     asked = queries.select("query_id", "words", F.posexplode("citations").alias("pos", "c"))
     asked = asked.withColumns({"canonical": C.canonical(F.col("c")), "odd": F.size(C.plausibility_issues(F.col("c"), today)) > 0})
     joined = asked.join(known, "canonical", "left")
-    firsts = joined.where("case_id is not null").groupBy("query_id", "case_id").agg(F.min("pos").alias("pos"))
-    listed = firsts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "case_id"))), lambda x: x["case_id"]).alias("ids"))
-    facts = joined.groupBy("query_id").agg(F.bool_or("odd").alias("odd"), F.bool_or(F.col("case_id").isNull()).alias("unknown"))
-    facts = facts.join(listed, "query_id", "left").join(queries.select("query_id", "words"), "query_id")
+    listed = F.collect_list(F.when(F.col("case_id").isNotNull(), F.struct("pos", "case_id")))
+    facts = joined.groupBy("query_id").agg(F.bool_or("odd").alias("odd"), F.bool_or(F.col("case_id").isNull()).alias("unknown"), F.array_distinct(F.transform(F.array_sort(listed), lambda x: x["case_id"])).alias("ids"))
+    # What follows reads the facts several times.
+    facts = settled(facts.join(queries.select("query_id", "words"), "query_id"), "facts")
     one = facts.where((F.size("words") > 0) & (F.size("ids") == 1))
     fits = score_names(one.select("query_id", "words"), cases).join(one.select("query_id", F.col("ids")[0].alias("id")), ["query_id", "id"]).select("query_id", "firm")
     facts = facts.join(fits, "query_id", "left")
-    n = F.coalesce(F.size("ids"), F.lit(0))
+    n = F.size("ids")
     status = (
         F.when(F.col("odd"), "invalid_citation")
-        .when(F.col("ids").isNull() | (n == 0), "not_found")
+        .when(n == 0, "not_found")
         .when(n > 1, "ambiguous")
         .when(F.col("unknown"), "suggestions")
         .when((F.size("words") > 0) & ~F.coalesce("firm", F.lit(False)), "suggestions")
@@ -161,7 +162,7 @@ def rejected(queries: DataFrame) -> DataFrame:
 
 def resolve(queries: DataFrame, cases: DataFrame, today: dt.date) -> DataFrame:
     """(query_id, status, candidates, citations) for every query: by citation if it has one, else by name."""
-    parts = decompose(queries).cache()  # each branch reads it; queries are few and short
+    parts = settled(decompose(queries).drop("prepared", "rest"), "queries")  # each branch reads it
     cited = parts.where(F.size("citations") > 0)
     named = parts.where((F.size("citations") == 0) & (F.size("words") > 0))
     blank = parts.where((F.size("citations") == 0) & (F.size("words") == 0)).select("query_id", F.lit("not_found").alias("status"))

@@ -92,6 +92,24 @@ def test_lookup(spark):
     assert out == {1: "verified", 2: "could_not_verify"}
 
 
+def test_citations_of_large_keys_are_looked_up(spark, tmp_path):
+    """A page has five digits at most; keys with more are cited all the same, as the SQL has them."""
+    import duckdb
+
+    from docketry.plans import catalog
+
+    keys = [1, 2, 3, 99_998, 99_999, 100_000, 100_001, 199_999, 5_000_002, 3_000_000_001]
+    spark.createDataFrame([(k, f"almond azure part {k % 7}") for k in keys], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, n + 1, (k + n * o) % 4_000_000_000) for o, k in enumerate(keys * 3) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalog.queries()["citation_lookup_join"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["citation_lookup_join"]).fetchall()
+    assert sorted((r.query_id, r.status, r.found) for r in rows) == sorted(want) and len({r.status for r in rows}) == 4
+
+
 def test_contained_passages_equal_brute_force(spark):
     r = random.Random(1)
     words = "ab cd ef gh".split()
