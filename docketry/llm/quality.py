@@ -128,17 +128,20 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def latent(dense: np.ndarray, dimensions: int) -> np.ndarray:
-    """Projection of counts (texts x buckets) to the latent dimensions, rarity included."""
-    used = np.flatnonzero(dense.any(0))
-    rarity = np.log((1 + len(dense)) / (1 + (dense[:, used] > 0).sum(0))) + 0.2
-    weighted = unit(dense[:, used] * rarity.astype(np.float32))
+    """Projection of counts (texts x buckets) to the latent dimensions, rarity included. The counts are used up."""
+    width, used = dense.shape[1], np.flatnonzero(dense.any(0))
+    weighted = dense[:, used] if len(used) < width else dense
+    del dense
+    rarity = np.log((1 + len(weighted)) / (1 + np.count_nonzero(weighted > 0, axis=0))) + 0.2
+    for at in range(0, len(weighted), BLOCK):
+        weighted[at : at + BLOCK] = unit(weighted[at : at + BLOCK] * rarity.astype(np.float32))
     # Subspace iteration for the largest singular vectors, a few more than are wanted.
     basis = np.random.default_rng(3).normal(size=(len(used), min(len(used), dimensions + 16))).astype(np.float32)
     for _ in range(POWER):
         basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
     _, _, turn = np.linalg.svd(weighted @ basis, full_matrices=False)
     basis = (basis @ turn.T)[:, :dimensions]
-    out = np.zeros((dense.shape[1], dimensions))
+    out = np.zeros((width, dimensions))
     out[used, : basis.shape[1]] = rarity[:, None] * basis
     return out
 
@@ -146,12 +149,18 @@ def latent(dense: np.ndarray, dimensions: int) -> np.ndarray:
 def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = DIMENSIONS) -> Votes:
     if not counts:
         return Votes(np.zeros((2 * BUCKETS, 2)), 1, np.zeros((0, 2)), np.zeros(0))
-    dense = np.zeros((len(counts), 2 * BUCKETS), np.float32)
-    for i, (k, v) in enumerate(counts):
-        dense[i, k] = v
+
+    def dense(low: int) -> np.ndarray:
+        """The counts of half the buckets; only one half is held at a time."""
+        out = np.zeros((len(counts), BUCKETS), np.float32)
+        for i, (k, v) in enumerate(counts):
+            own = (k >= low) & (k < low + BUCKETS)
+            out[i, k[own] - low] = v[own]
+        return out
+
     project = np.zeros((2 * BUCKETS, 2 * dimensions))
-    project[:BUCKETS, :dimensions] = latent(dense[:, :BUCKETS], dimensions)
-    project[BUCKETS:, dimensions:] = latent(dense[:, BUCKETS:], dimensions)
+    project[:BUCKETS, :dimensions] = latent(dense(0), dimensions)
+    project[BUCKETS:, dimensions:] = latent(dense(BUCKETS), dimensions)
     model = Votes(project, dimensions, np.zeros((0, 2 * dimensions)), np.asarray(labels, np.float64))
     model.vectors = model.embed(list(counts))
     return model

@@ -78,21 +78,46 @@ class FactorizationMachine:
         return sigmoid(self.bias + linear + both / 2)
 
 
-def descend(present: np.ndarray, labels: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, decay: float = DECAY, spread: float = SPREAD, seed: int = 7) -> tuple[float, np.ndarray]:
+@dataclass
+class Bits:
+    """A table of documents x terms, 0 or 1, of which only the bits are held; rows are given as numbers."""
+
+    packed: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, table: np.ndarray) -> Bits:
+        return cls(np.packbits(np.asarray(table, np.uint8), axis=1), table.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def rows(self, at: np.ndarray | slice) -> np.ndarray:
+        return np.unpackbits(self.packed[at], axis=1, count=self.width)
+
+    def columns(self, chosen: np.ndarray) -> Bits:
+        out = np.zeros((len(self), -(-len(chosen) // 8)), np.uint8)
+        for at in blocks(len(self)):
+            out[at] = np.packbits(self.rows(at)[:, chosen], axis=1)
+        return Bits(out, len(chosen))
+
+
+def descend(present: np.ndarray | Bits, labels: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, decay: float = DECAY, spread: float = SPREAD, seed: int = 7) -> tuple[float, np.ndarray]:
     """Bias and parameters (weight, vector) of each term: Adam on the log loss, with decay.
 
     present: documents x terms, 0 or 1. With S = present @ (w, V), the gradient of all terms is one product with
     (error, error * S), less the error times the term's own vector.
     """
+    present = present if isinstance(present, Bits) else Bits.of(present)
     rng, labels = np.random.default_rng(seed), labels.astype(np.float32)
     share = (labels.sum() + 1) / (len(labels) + 2)
-    params = [np.log(np.full(1, share / (1 - share), np.float32)), np.concatenate([np.zeros((present.shape[1], 1)), rng.normal(0, spread, (present.shape[1], rank))], 1).astype(np.float32)]
+    params = [np.log(np.full(1, share / (1 - share), np.float32)), np.concatenate([np.zeros((present.width, 1)), rng.normal(0, spread, (present.width, rank))], 1).astype(np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
     for _ in range(max(epochs, STEPS * BATCH // len(present))):
         order = rng.permutation(len(present))
         for at in range(0, len(order), BATCH):
-            x, y = present[order[at : at + BATCH]].astype(np.float32), labels[order[at : at + BATCH]]
+            x, y = present.rows(order[at : at + BATCH]).astype(np.float32), labels[order[at : at + BATCH]]
             sums = x @ params[1]
             squares = x @ (params[1][:, 1:] ** 2).sum(1)
             error = (sigmoid(params[0] + sums[:, 0] + ((sums[:, 1:] ** 2).sum(1) - squares) / 2) - y) / len(y)
@@ -111,37 +136,46 @@ def blocks(n: int, size: int = 512) -> Iterator[slice]:
     return (slice(at, at + size) for at in range(0, n, size))
 
 
-def paired(present: np.ndarray, residuals: np.ndarray, least: float = PAIR_Z) -> np.ndarray:
+def paired(present: np.ndarray | Bits, residuals: np.ndarray, least: float = PAIR_Z, wide: int = 512) -> np.ndarray:
     """Columns that are in a pair whose texts' residuals sum to `least` standard errors or more.
 
-    Two matrices of PAIR_TERMS by PAIR_TERMS single-precision numbers are held, and a block of texts.
+    The pairs of `wide` columns with all are looked at together: two matrices of so many rows of single-precision
+    numbers are held, and a block of texts.
     """
-    off, error = (np.zeros((present.shape[1],) * 2, np.float32) for _ in range(2))
-    for rows in blocks(len(present)):
-        x, r = present[rows].astype(np.float32), residuals[rows].astype(np.float32)[:, None]
-        off += x.T @ (r * x)
-        error += x.T @ (r * r * x)
-    error += 1
-    off /= np.sqrt(error, out=error)
-    np.abs(off, out=off)
-    np.fill_diagonal(off, 0)
-    return np.flatnonzero(off.max(1, initial=0) >= least)
-
-
-def fit(terms: np.ndarray, present: np.ndarray, labels: np.ndarray, telling: np.ndarray, frequent: np.ndarray) -> FactorizationMachine:
+    present = present if isinstance(present, Bits) else Bits.of(present)
+    largest = np.zeros(present.width, np.float32)
+    for own in blocks(present.width, wide):
+        here = np.arange(present.width)[own]
+        off, error = (np.zeros((len(here), present.width), np.float32) for _ in range(2))
+        for rows in blocks(len(present)):
+            x, r = present.rows(rows).astype(np.float32), residuals[rows].astype(np.float32)[:, None]
+            mine = r * x[:, own]
+            off += mine.T @ x
+            error += (r * mine).T @ x
+        error += 1
+        off /= np.sqrt(error, out=error)
+        np.abs(off, out=off)
+        off[np.arange(len(here)), here] = 0
+        largest[own] = off.max(1, initial=0)
+    return np.flatnonzero(largest >= least)
+
+
+def fit(terms: np.ndarray, present: np.ndarray | Bits, labels: np.ndarray, telling: np.ndarray, frequent: np.ndarray) -> FactorizationMachine:
     """Train on documents x terms (sorted hashes), 0 or 1; telling and frequent mark the columns of each kind."""
+    present = present if isinstance(present, Bits) else Bits.of(present)
     labels = np.asarray(labels)
     share = (labels.sum() + 1) / (len(labels) + 2)
     prior = float(np.log(share / (1 - share)))
     if not len(terms) or not len(labels) or labels.min() == labels.max():
         return FactorizationMachine(np.zeros(0, np.uint32), prior, np.zeros(0), np.zeros((0, RANK)))
     single = np.flatnonzero(telling)
-    bias, params = descend(present[:, single], labels, rank=0) if len(single) else (prior, np.zeros((0, 1), np.float32))
-    linear = np.concatenate([present[rows][:, single].astype(np.float32) @ params[:, 0] for rows in blocks(len(present))])
+    alone = present.columns(single)
+    bias, params = descend(alone, labels, rank=0) if len(single) else (prior, np.zeros((0, 1), np.float32))
+    linear = np.concatenate([alone.rows(rows).astype(np.float32) @ params[:, 0] for rows in blocks(len(present))])
     residuals = labels - sigmoid(bias + linear)
     often = np.flatnonzero(frequent)
-    chosen = np.union1d(single, often[paired(present[:, often], residuals)])
-    bias, params = descend(present[:, chosen], labels)
+    chosen = np.union1d(single, often[paired(present.columns(often), residuals)])
+    bias, params = descend(present.columns(chosen), labels)
     return FactorizationMachine(terms[chosen], bias, params[:, 0].astype(np.float64), params[:, 1:].astype(np.float64))
 
 
@@ -210,9 +244,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "bits"])
 
     found = sorted(rows.mapInArrow(bits, "id string, y int, bits binary").collect())
-    present = np.unpackbits(np.frombuffer(b"".join(r.bits for r in found), np.uint8).reshape(len(found), -1), axis=1, count=len(terms)) if found and len(terms) else np.zeros((len(found), len(terms)), np.uint8)
+    packed = np.frombuffer(b"".join(r.bits for r in found), np.uint8).reshape(len(found), -(-len(terms) // 8))
+    labels_of = np.array([r.y for r in found], np.int64)
+    del found
     marked = (np.array([t in kind for t in terms.tolist()], bool) for kind in (telling, frequent))
-    return fit(terms, present, np.array([r.y for r in found], np.int64), *marked)
+    return fit(terms, Bits(packed, len(terms)), labels_of, *marked)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:

@@ -214,6 +214,31 @@ def test_classifiers(spark, docs, labels):
         assert module.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_classifiers_fit_in_the_driver():
+    """Samples as large as a table's: the driver's Python holds bits, and half the counts at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    r = np.random.default_rng(5)
+    labels = r.integers(0, 2, 4000)
+    present = (r.random((4000, 5000), np.float32) < 0.02).astype(np.uint8)
+    present[:, 4000] = labels
+    number = np.arange(5000)
+    assert peak(lambda: toxicity.fit(number, present, labels, number == 4000, number < toxicity.PAIR_TERMS)) < 70  # before: 235
+    counts = [(np.unique(r.integers(0, 2 * quality.BUCKETS, 200)), np.ones(200)) for _ in range(2000)]
+    counts = [(k, v[: len(k)]) for k, v in counts]
+    assert peak(lambda: quality.fit(counts, labels[:2000])) < 2 * len(counts) * quality.BUCKETS * 4 / 1e6 + 20
+
+
 def test_language(docs):
     rows = langid.identify(docs).collect()
     assert len(rows) == docs.count()
