@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import few_rows, marked_rows, marks, positioned, stored
+from docketry.llm.common import few_rows, frugal, marked_rows, marks, positioned, stored
 from docketry.llm.graph import components
 from docketry.llm.setsketch import SHINGLE, Shingler, Sketcher, band_keys, fingerprint, likely
 
@@ -85,7 +85,7 @@ def prints(docs: DataFrame, size: int, percent: int, kind: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fp", "sketch", "audit", "__file", "__row"])
 
-    return docs.select("id", "text", "__file", "__row").mapInArrow(run, kind)
+    return docs.select("id", "text", "__file", "__row").mapInArrow(frugal(run), kind)
 
 
 def sketches_of(column: pa.Array) -> np.ndarray:
@@ -135,7 +135,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"s_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
@@ -148,7 +148,7 @@ def full_sets(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
                 batch = whole.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["rep", "set"])
 
-    work = lambda rows: rows.select("id", "text").mapInArrow(run, "rep long, set binary")
+    work = lambda rows: rows.select("id", "text").mapInArrow(frugal(run), "rep long, set binary")
     return stored(marked_rows(docs, marks(places), "sets", work), "sets")
 
 

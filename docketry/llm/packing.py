@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import frugal
+
 LIMIT = 1024
 SENTENCE_CUT = 6  # penalty, in tokens of padding, for a window that ends at a sentence's end inside a document
 TOKEN_CUT = 48  # the same inside a sentence
@@ -232,4 +234,4 @@ def pack(
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), schema).withColumnRenamed("id", id_col)

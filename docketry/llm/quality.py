@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bounded_sample, crc_of_id
+from docketry.llm.common import bounded_sample, crc_of_id, frugal
 
 PER_CLASS = 2000  # labelled vectors of each class
 BUCKETS = 4096  # of hashed terms, and as many again for words
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Votes, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), F.col("score").alias(out))
+    return rows.mapInArrow(frugal(run), f"id {rows.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), F.col("score").alias(out))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: tuple[int, int] = (5, 0), threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bounded_sample, crc_of_id, stored
+from docketry.llm.common import bounded_sample, crc_of_id, frugal, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1).to_pylist()), pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), F.col("score").alias(out))
+    return rows.mapInArrow(frugal(run), f"id {rows.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), F.col("score").alias(out))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: tuple[int, int] = (3, 1), threshold: float = THRESHOLD) -> DataFrame:

@@ -378,3 +378,52 @@ def test_dual_search_equals_brute_force_and_prunes():
         near = sorted((-int(x[i] @ x[j]), j) for j in range(3000) if j != i)[:5]
         assert [(-int(s), j) for s, j in zip(scores, ids, strict=True)] == near
     assert found.compared < 0.5 * len(q) * len(x)
+
+
+def test_stages_bound_the_bytes_of_a_batch_and_no_piece_changes(spark):
+    import pyarrow as pa
+
+    from docketry import session
+    from docketry.llm import stages
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], ["bytes", "rows"])
+
+    texts = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" alpha beta. gamma"), 400)).alias("text"))
+    spark.conf.unset(session._BATCH)
+    before = packing.pack(texts, byte_bpe_encoder(packing.Encoder)).collect()
+    try:
+        packed = stages.packing_stage(spark, texts, "").collect()
+        seen = texts.mapInArrow(sizes, "bytes long, rows long").collect()
+        assert max(r.bytes for r in seen) < 1.5 * session.BATCH_BYTES and sum(r.rows for r in seen) == 3000
+        assert packed == before
+        spark.conf.set(session._BATCH, "123456")
+        session.bound_batches(spark)
+        assert spark.conf.get(session._BATCH) == "123456"
+    finally:
+        spark.conf.unset(session._BATCH)
+
+
+def test_workers_give_freed_memory_back():
+    import re
+    from pathlib import Path
+
+    import numpy as np
+
+    from docketry.llm.common import frugal
+
+    def held():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    pins = []
+
+    def work(batches):
+        parts = [np.ones(2000) for _ in range(8000)]  # 128 MB of small blocks, and one behind them that stays
+        pins.append(np.ones(2000))
+        del parts
+        yield from batches
+
+    start = held()
+    assert list(frugal(work)(iter([1, 2]))) == [1, 2]
+    assert held() - start < 30
